@@ -4,13 +4,14 @@ Plan. One pass over the texts gives each document the size and a 128-bit hash of
 ``perms`` minima cut to their low ``BITS`` bits and packed, and one 64-bit key per band of ``rows``
 whole minima. Documents with equal sets collapse to a representative, linked at once. Candidates are
 representatives sharing a band key; the collision-corrected estimate from the packed bits prunes
-them with a margin of six standard deviations, and the full shingle sets confirm each link.
+them with a margin of five standard deviations, and the full shingle sets confirm each link.
 
 No bucket is expanded to all its pairs. First every member is held against the bucket's smallest id
-(as many pairs as members); what this links becomes components. Then only buckets that still hold
-several components are looked at again: members outside the bucket's largest component are compared
-with all members, block by block in numpy, and only pairs of different components that pass the
-estimate leave the task. Every two members of a bucket thus end in one component or were compared.
+(as many pairs as members); what this links becomes components. Buckets that then still hold several
+components are looked at again: such buckets chained by common members form families, and in a family the
+documents outside its largest component meet all of it, block by block in numpy: the estimate first, then
+the full sets. Only a spanning forest of the links found leaves a task. So every two members of a bucket end
+in one component or were compared.
 
 The only approximation is the banding: with 32 bands of 4 a pair of similarity s shares a bucket with
 probability 1-(1-s^4)^32, which is 1-5e-8 at s = 0.8.
@@ -126,33 +127,56 @@ def _estimate(a, b, perms: int):
     return (equal / F.lit(perms) - chance) / (1 - chance)
 
 
-def _cross_pairs(perms: int, least: float):
-    """Pairs of different components within one block whose estimate is ``least`` at least."""
+def _cross_links(perms: int, least: float, percent: int):
+    """Links between different components within one block, as (id, smallest id of its local tree)."""
     chance = 2.0**-BITS
     need = int(np.ceil((least * (1 - chance) + chance) * perms - 1e-9))
+    none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ask, base = pdf[pdf.asks], pdf[~pdf.asks]
         if not len(ask) or not len(base):
-            return pd.DataFrame({"a": pd.Series([], dtype="int64"), "b": pd.Series([], dtype="int64")})
+            return none
         sig_b = np.array(base.sig.tolist(), np.int64).view(np.uint64)
-        id_b, comp_b = base.id.to_numpy(), base.comp.to_numpy()
-        out = []
-        for s, i, c in zip(ask.sig, ask.id, ask.comp, strict=True):
-            x = sig_b ^ np.asarray(s, np.int64).view(np.uint64)
+        comp_b, size_b = base["comp"].to_numpy(), base.shingles.map(len).to_numpy()
+        vocab, at_b = np.unique(np.concatenate(base.shingles.to_list()), return_inverse=True)
+        begin = np.concatenate([[0], np.cumsum(size_b)])[:-1]
+        is_, js = [], []
+        for i, (s, c, x) in enumerate(zip(ask.sig, ask["comp"], ask.shingles, strict=True)):
+            d = sig_b ^ np.asarray(s, np.int64).view(np.uint64)
             k = 1
             while k < BITS:
-                x |= x >> np.uint64(k)
+                d |= d >> np.uint64(k)
                 k *= 2
-            differ = np.bitwise_count(x & np.uint64(_LOW)).sum(axis=1)
-            hit = id_b[(perms - differ >= need) & (comp_b != c)]
-            out.append(np.column_stack([np.minimum(hit, i), np.maximum(hit, i)]))
-        return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+            differ = np.bitwise_count(d & np.uint64(_LOW)).sum(axis=1)
+            maybe = (perms - differ >= need) & (comp_b != c)
+            if not maybe.any():
+                continue
+            p = np.minimum(np.searchsorted(vocab, x), len(vocab) - 1)
+            mark = np.zeros(len(vocab), np.int64)
+            mark[p[vocab[p] == x]] = 1
+            both = np.add.reduceat(mark[at_b], begin)
+            j = np.flatnonzero(maybe & (both * 100 >= (len(x) + size_b - both) * percent))
+            is_.append(np.full(len(j), i))
+            js.append(j)
+        i, j = (np.concatenate([*v, np.zeros(0, int)]).astype(int) for v in (is_, js))
+        if not len(i):
+            return none
+        ra, rb = ask.id.to_numpy().copy(), base.id.to_numpy().copy()
+        while True:
+            low, na, nb = np.minimum(ra[i], rb[j]), ra.copy(), rb.copy()
+            np.minimum.at(na, i, low)
+            np.minimum.at(nb, j, low)
+            if (na == ra).all() and (nb == rb).all():
+                break
+            ra, rb = na, nb
+        i, j = np.unique(i), np.unique(j)
+        return pd.DataFrame({"a": np.concatenate([ask.id.to_numpy()[i], base.id.to_numpy()[j]]), "b": np.concatenate([ra[i], rb[j]])})
 
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, perms: int = 128, rows: int = 4, block: int = 512, seed: int = 7) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, perms: int = 128, rows: int = 4, block: int = 160, seed: int = 7) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, n_shingles, component_id, kept), one row per input row.
 
     Words are runs of non-whitespace with A-Z lower-cased; the set of a text is its distinct
@@ -163,7 +187,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, perms: i
     come out once each, with equal results. Other columns of ``docs`` are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    least = max(0.0, percent / 100 - 6 * ((percent / 100) * (1 - percent / 100) / perms) ** 0.5)
+    least = max(0.0, percent / 100 - 5 / (1 - 2.0**-BITS) * ((percent / 100) * (1 - percent / 100) / perms) ** 0.5)
     sigs = written(docs.mapInArrow(_signatures(width, perms, rows, seed), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sig array<long>"), "sigs")
     full = sigs.filter("n_shingles > 0 and doc_id is not null")
     reps = full.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"))
@@ -174,36 +198,37 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, perms: i
     buckets = written(buckets, "buckets")
     sig = lead.select("id", "sig", "n_shingles")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """Of pairs(a, b), those whose full sets are similar enough."""
-        side = lambda x: sig.select(F.col("id").alias(x), F.col("sig").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}"))
-        good = pairs.join(side("a"), "a").join(side("b"), "b").filter((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (_estimate(F.col("sa"), F.col("sb"), perms) >= least))
-        good = written(good.select("a", "b"), "candidates")
-        need = good.select(F.col("a").alias("doc_id")).union(good.select(F.col("b").alias("doc_id"))).distinct()
-        sets = written(docs.join(need, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(width), "doc_id long, shingles array<long>"), "sets")
-        both = good.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-        both = both.withColumn("both", F.size(F.array_intersect("x", "y")).cast("long"))
-        links = written(both.filter(F.col("both") * 100 >= (F.size("x") + F.size("y") - F.col("both")) * percent).select("a", "b"), "links")
-        drop_written(sets)
-        return links
-
     star = rows_.join(buckets.select("key", "first"), "key").filter("id > first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    links = confirmed(star)
+    star = written(star, "pairs")
+    # the full sets of all that shares a bucket
+    need = star.select(F.col("a").alias("doc_id")).union(star.select(F.col("b").alias("doc_id"))).distinct()
+    sets = written(docs.join(need, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(width), "doc_id long, shingles array<long>"), "sets")
+    side = lambda x: sig.select(F.col("id").alias(x), F.col("sig").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}"))
+    good = star.join(side("a"), "a").join(side("b"), "b").filter((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (_estimate(F.col("sa"), F.col("sb"), perms) >= least)).select("a", "b")
+    both = good.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+    both = both.withColumn("both", F.size(F.array_intersect("x", "y")).cast("long"))
+    links = written(both.filter(F.col("both") * 100 >= (F.size("x") + F.size("y") - F.col("both")) * percent).select("a", "b"), "links")
     comp = connected_components(links)
 
-    # buckets of three and more that still hold several components
-    named = rows_.join(buckets.filter("n > 2").select("key"), "key").join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
+    # buckets of three and more that still hold several components, chained to families
+    named = rows_.join(buckets.filter("n > 2").select("key", "first"), "key").join(comp, "id", "left").select("key", "first", "id", F.coalesce("component", "id").alias("comp"))
     named = written(named, "members")
-    per = named.groupBy("key", "comp").agg(F.count("*").alias("m"))
-    mixed = per.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("big"), F.sum("m").alias("n"), F.max("m").alias("most")).filter("n > most")
-    mixed = mixed.select("key", "big", F.ceil(F.col("n") / block).cast("int").alias("nb"), F.ceil((F.col("n") - F.col("most")) / block).cast("int").alias("nq"))
-    part = named.join(mixed, "key").join(sig.select("id", "sig"), "id")
+    mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
+    named = named.join(mixed, "key")
+    family = connected_components(named.select(F.col("first").alias("a"), F.col("id").alias("b"))).withColumnRenamed("component", "family")
+    named = written(family.join(comp, "id", "left").select("family", "id", F.coalesce("component", "id").alias("comp")), "families")
+    per = named.groupBy("family", "comp").agg(F.count("*").alias("m"))
+    plan = per.groupBy("family").agg(F.max_by("comp", F.struct("m", "comp")).alias("big"), F.sum("m").alias("n"), F.max("m").alias("most")).filter("n > most")
+    plan = plan.select("family", "big", F.ceil(F.col("n") / block).cast("int").alias("nb"), F.ceil((F.col("n") - F.col("most")) / block).cast("int").alias("nq"))
+    part = named.join(plan, "family").join(sig.select("id", "sig"), "id").join(sets.withColumnRenamed("doc_id", "id"), "id")
+    part = written(part, "parts")
     spread = F.pmod(F.xxhash64("id"), F.lit(1 << 30)).cast("int")
-    base = part.select("key", "id", "comp", "sig", F.lit(False).alias("asks"), (spread % F.col("nb")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("j"))
-    asks = part.filter("comp != big").select("key", "id", "comp", "sig", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("i"), (spread % F.col("nq")).alias("j"))
-    cross = base.unionByName(asks).groupBy("key", "i", "j").applyInPandas(_cross_pairs(perms, least), "a long, b long").distinct()
-    more = confirmed(cross)
+    base = part.select("family", "id", "comp", "sig", "shingles", F.lit(False).alias("asks"), (spread % F.col("nb")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("j"))
+    asks = part.filter("comp != big").select("family", "id", "comp", "sig", "shingles", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("i"), (spread % F.col("nq")).alias("j"))
+    more = base.unionByName(asks).groupBy("family", "i", "j").applyInPandas(_cross_links(perms, least, percent), "a long, b long")
     comp = connected_components(links.union(more))
+    for table in (star, sets, part, named):
+        drop_written(table)
     classes = reps.join(comp, reps.rep == comp.id, "left").select("h1", "h2", F.col("n_shingles").alias("n"), F.coalesce("component", "rep").alias("component"))
     s = sigs.select("doc_id", "n_shingles", "h1", "h2")
     out = s.join(classes, (s.h1 == classes.h1) & (s.h2 == classes.h2) & (s.n_shingles == classes.n), "left")
