@@ -201,7 +201,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, perms: i
     star = rows_.join(buckets.select("key", "first"), "key").filter("id > first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     star = written(star, "pairs")
     # the full sets of all that shares a bucket
-    need = star.select(F.col("a").alias("doc_id")).union(star.select(F.col("b").alias("doc_id"))).distinct()
+    need = star.select(F.col("a").alias("doc_id")).union(star.select(F.col("b").alias("doc_id"))).distinct().hint("merge")  # one plan at every size
     sets = written(docs.join(need, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(width), "doc_id long, shingles array<long>"), "sets")
     side = lambda x: sig.select(F.col("id").alias(x), F.col("sig").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}"))
     good = star.join(side("a"), "a").join(side("b"), "b").filter((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (_estimate(F.col("sa"), F.col("sb"), perms) >= least)).select("a", "b")
