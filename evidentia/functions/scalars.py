@@ -58,7 +58,7 @@ def token_shingles(normalized: Column, width: int = 3) -> Column:
 
 def parse_evidence_date(text: Column) -> Column:
     """ISO, M/D/YYYY or "Month D, YYYY"; an impossible date is null and never rolls over."""
-    return F.coalesce(F.try_to_date(text, F.lit("yyyy-MM-dd")), F.try_to_date(text, F.lit("M/d/yyyy")), F.try_to_date(text, F.lit("MMMM d, yyyy")))
+    return F.coalesce(F.try_to_date(text, "yyyy-MM-dd"), F.try_to_date(text, "M/d/yyyy"), F.try_to_date(text, "MMMM d, yyyy"))
 
 
 def infer_date_kind(left: Column) -> Column:
@@ -75,7 +75,7 @@ def column_number(letters: Column) -> Column:
 def cell_coords(address: Column) -> Column:
     """struct(col, row) of an A1 address within 16,384 x 1,048,576 cells, else null."""
     plain = F.upper(F.replace(address, F.lit("$"), F.lit("")))
-    col, row = column_number(F.regexp_extract(plain, "^([A-Z]{1,3})", 1)), F.expr("0")
+    col = column_number(F.regexp_extract(plain, "^([A-Z]{1,3})", 1))
     row = F.regexp_extract(plain, "^[A-Z]{1,3}([0-9]{1,7})$", 1).try_cast("int")
     return F.when(plain.rlike("^[A-Z]{1,3}[1-9][0-9]{0,6}$") & (col <= 16384) & (row <= 1048576), F.struct(col.alias("col"), row.alias("row")))
 
