@@ -1,6 +1,7 @@
 """Small literal cases; whole tables are held against DuckDB by the oracle of each query."""
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,10 +72,10 @@ def test_query_equals_its_oracle(spark, name):
     assert sorted(got.columns) == cols and len(got) == len(want)
 
     def text(x):
-        if x is None or x != x:
-            return ""
         if hasattr(x, "tolist"):
             x = x.tolist()
+        if not isinstance(x, list) and pd.isna(x):
+            return ""
         return f"{x:.6g}" if isinstance(x, float) else f"{float(x):.6g}" if isinstance(x, int) and not isinstance(x, bool) else str(x)
 
     told = lambda df: sorted("|".join(map(text, r)) for r in df[cols].itertuples(index=False))
