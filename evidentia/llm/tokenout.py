@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -18,43 +19,78 @@ from pyspark.sql import functions as F
 
 from .common import scratch_path
 
-_SPACE = re.compile(r"[^ \t\n\r\x0b\x0c]+")
+_RUN = re.compile(r"[^ \t\n\r\x0b\x0c]+")
+#: White space and separators that str.split() would also split at.
+_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Runs whose normal form is their plain lower case: ASCII and precomposed Latin-1 letters.
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: The tokenizer's own pre-tokens within a plain run in lower case.
+_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 _ENCODERS: dict = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for letters from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class WordEncoder:
-    """Ids of whole texts by a tokenizer whose pieces never span white space. Every run of non-space
-    characters that was met before comes from a table; the tokenizers library encodes the others. The
-    table is emptied at ``max_known`` runs; runs over 64 characters never enter it."""
+    """Ids of whole texts by a lower-casing byte-level word BPE, whose pieces never span white space.
 
-    def __init__(self, path: str, max_known: int = 400_000):
+    A text is split into runs of non-space characters. A run met before comes from a table; a plain one is split as
+    the tokenizer's pre-tokenizer splits it and its pieces go to the tokenizers library's model; any other run goes
+    through the whole tokenizer. At ``max_known`` entries the table of runs becomes the
+    older one, asked second, and a new one begins; runs over 64 characters never enter."""
+
+    def __init__(self, path: str, max_known: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(added)) if added else None
+        self.letters = _byte_letters()
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.max_known = max_known
 
+    def _piece(self, piece: str) -> bytes:
+        got = self.pieces.get(piece)
+        if got is None:
+            mapped = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
+            got = pack("<%dI" % len(ids := [t.id for t in self.model.tokenize(mapped)]), *ids)
+            if len(piece) <= 64:
+                if len(self.pieces) >= 500_000:
+                    self.pieces = {}
+                self.pieces[piece] = got
+        return got
+
+    def _run(self, run: str) -> bytes:
+        got = self.older.get(run)
+        if got is not None:
+            pass
+        elif _PLAIN.fullmatch(run) and not (self.special and self.special.search(run)):
+            got = b"".join([self._piece(p) for p in _PIECE.findall(run.lower())])
+        else:
+            got = pack("<%dI" % len(ids := self.tokenizer.encode(run, add_special_tokens=False).ids), *ids)
+        if len(run) <= 64:
+            if len(self.known) >= self.max_known:
+                self.older, self.known = self.known, {}
+            self.known[run] = got
+        return got
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian uint32 ids of each text."""
-        runs = [_SPACE.findall(x) for x in texts]
-        known = self.known
-        new = list({w for r in runs for w in set(r) if w not in known})
-        extra = {}
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                extra[w] = np.array(e.ids, "<u4").tobytes()
-        if len(known) + len(extra) > self.max_known:
-            known = known | extra
-            out = [b"".join([known[w] for w in r]) for r in runs]
-            self.known = {}
-            return out
-        if extra:
-            known.update(extra)
-        out = [b"".join([known[w] for w in r]) for r in runs]
-        for w in extra:
-            if len(w) > 64:
-                del known[w]
+        out = []
+        for text in texts:
+            runs = _RUN.findall(text) if _ODD_SPACE.search(text) else text.split()
+            ids = list(map(self.known.get, runs))
+            if None in ids:
+                ids = [self._run(r) if x is None else x for r, x in zip(runs, ids, strict=True)]
+            out.append(b"".join(ids))
         return out
 
 
