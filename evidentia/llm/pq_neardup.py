@@ -1,8 +1,10 @@
 """Embedding near-duplicates by product quantisation, without losing a link.
 
 Vectors are scaled to length 1, so cosine >= t means a distance of at most R = sqrt(2 - 2t). Coarse
-centroids give inverted lists; residuals are coded by sub-vector codebooks. A vector probes its own list
-and every list whose bisecting hyperplane is within R of it: no vector of another list can be nearer.
+centroids give inverted lists, as many as the largest label needs, since only equal labels meet; residuals
+are coded by sub-vector codebooks. A vector probes its own list and every list of a smaller number that can
+hold a vector within R: one behind a bisecting hyperplane, or behind the mean of the hyperplanes of its
+nearest lists, farther than R cannot. So each pair of two lists meets once and counts for both.
 The asymmetric table-lookup distance to a coded vector is wrong by at most that vector's stored coding
 error, so lookups above R plus the error are dropped and the rest are reranked by the exact cosine.
 Only training uses a sample (``sample`` rows); every vector is coded and asked.
@@ -65,6 +67,13 @@ class ProductQuantizer:
             rest += ((r - book[codes[:, m]]) ** 2).sum(1)
         gap = d2 - d2[np.arange(len(x)), own][:, None]
         probe = gap <= 2 * self.between[own] * (radius + EPS) + EPS
+        order = np.argsort(d2, axis=1)
+        for m in (2, 4, 8, 16):
+            if m < len(self.coarse):
+                mean = self.coarse[order[:, :m]].mean(1)
+                apart = np.sqrt(np.maximum(0, (mean * mean).sum(1)[:, None] + (self.coarse**2).sum(1) - 2 * mean @ self.coarse.T))
+                probe &= d2 - np.take_along_axis(d2, order[:, :m], 1).mean(1)[:, None] <= 2 * apart * (radius + EPS) + EPS
+        probe &= np.arange(len(self.coarse)) <= own[:, None]
         probe[np.arange(len(x)), own] = True
         return own, codes, np.sqrt(rest), probe
 
@@ -129,6 +138,8 @@ def _meet(pq, radius: float, least: float):
         if not len(i):
             return none
         links = np.bincount(i, weights=base.n.to_numpy()[j], minlength=len(ask)).astype(np.int64)
+        # within one list both ask; between lists only one does, so its copies count for the other here
+        back = np.bincount(j, weights=np.where(ask.own.to_numpy()[i], 0, ask.n.to_numpy()[i]), minlength=len(base)).astype(np.int64)
         ra, rb = ida.copy(), idb.copy()
         while True:
             low = np.minimum(ra[i], rb[j])
@@ -139,12 +150,12 @@ def _meet(pq, radius: float, least: float):
                 break
             ra, rb = na, nb
         ua_, ub_ = np.unique(i), np.unique(j)
-        return pd.DataFrame({"id": np.concatenate([ida[ua_], idb[ub_]]), "links": np.concatenate([links[ua_], np.zeros(len(ub_), np.int64)]), "root": np.concatenate([ra[ua_], rb[ub_]])})
+        return pd.DataFrame({"id": np.concatenate([ida[ua_], idb[ub_]]), "links": np.concatenate([links[ua_], back[ub_]]), "root": np.concatenate([ra[ua_], rb[ub_]])})
 
     return run
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.98, sample: int = 16384, max_lists: int = 1024, per_list: int = 256, parts: int = 16, block: int = 128, seed: int = 5) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.98, sample: int = 16384, max_lists: int = 1024, per_list: int = 256, parts: int = 16, block: int = 256, seed: int = 5) -> DataFrame:
     """vectors(vec_id, embedding, label) -> (vec_id, n_links, component_id, kept), one row per input row.
 
     Two rows link when their labels are equal and not null, their lengths are equal and their cosine in
@@ -160,7 +171,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, sample: int = 16384
     v = v.withColumns({"h1": F.xxhash64("vec"), "h2": F.xxhash64(F.lit(1), "vec"), "dim": F.size("vec")})
     good = v.filter("ok")
     reps = written(good.groupBy("label", "dim", "h1", "h2").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")), "reps")
-    total = reps.agg(F.count("*"), F.max("dim")).first()
+    total = reps.groupBy("label").agg(F.count("*").alias("n"), F.max("dim").alias("dim")).agg(F.max("n"), F.max("dim")).first()
     plain = v.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     if not total[0]:
         return plain
@@ -177,9 +188,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, sample: int = 16384
     blocks = written(sizes.join(asked, ["label", "dim", "cell"]), "blocks")
     spread = lambda s: F.pmod(F.xxhash64("id", F.lit(s)), F.lit(1 << 30)).cast("int")
     on = ["label", "dim", "cell"]
-    base = coded.join(blocks, on).select(*on, "id", "n", "vec", "code", "err", F.lit(False).alias("asks"), (spread(1) % F.col("nb")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("j"))
-    asks = coded.select("label", "dim", F.explode("probes").alias("cell"), "id", "n", "vec").join(blocks, on)
-    asks = asks.select(*on, "id", "n", "vec", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("err"), F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("i"), (spread(2) % F.col("nq")).alias("j"))
+    base = coded.join(blocks, on).select(*on, "id", "n", "vec", "code", "err", F.lit(False).alias("asks"), F.lit(True).alias("own"), (spread(1) % F.col("nb")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("j"))
+    asks = coded.select("label", "dim", F.explode("probes").alias("cell"), F.col("cell").alias("home"), "id", "n", "vec").join(blocks, on)
+    asks = asks.select(*on, "id", "n", "vec", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("err"), F.lit(True).alias("asks"), (F.col("home") == F.col("cell")).alias("own"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("i"), (spread(2) % F.col("nq")).alias("j"))
     met = written(base.unionByName(asks).groupBy(*on, "i", "j").applyInPandas(_meet(pq, radius, least), "id long, links long, root long"), "met")
     comp = connected_components(met.select(F.col("id").alias("a"), F.col("root").alias("b")))
     links = met.groupBy("id").agg(F.sum("links").alias("links"))
