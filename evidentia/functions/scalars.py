@@ -52,8 +52,13 @@ def normalize_field(name: Column) -> Column:
 def token_shingles(normalized: Column, width: int = 3) -> Column:
     """Distinct sorted ``width``-word shingles; fewer words make one shingle, none make an empty array."""
     t = F.filter(F.split(normalized, " "), lambda x: x != "")
-    grams = F.transform(F.sequence(F.lit(1), F.size(t) - width + 1), lambda i: F.array_join(F.slice(t, i, width), " "))
-    return F.when(F.size(t) == 0, F.array().cast("array<string>")).when(F.size(t) < width, F.array(F.array_join(t, " "))).otherwise(F.array_sort(F.array_distinct(grams)))
+
+    def grams(w: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(w) - width + 1), lambda i: F.array_join(F.slice(w, i, width), " "))
+        return F.when(F.size(w) == 0, F.array().cast("array<string>")).when(F.size(w) < width, F.array(F.array_join(w, " "))).otherwise(F.array_sort(F.array_distinct(runs)))
+
+    # the words are bound to a lambda's variable, else every shingle would split the text again
+    return F.transform(F.array(t), grams)[0]
 
 
 def parse_evidence_date(text: Column) -> Column:

@@ -11,6 +11,8 @@ from ..operators import evidence as E
 from ..operators import graphs as G
 from ..operators import rules as R
 from ..operators import tables as T
+from ..sources import packages as P
+from ..streaming import streams as K
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -456,3 +458,26 @@ def identities(t):
     p = t("part")
     at = S.cell_coords(F.concat(F.char((F.col("p_partkey") % 26 + 65).cast("long")), F.col("p_partkey").cast("string")))
     return p.select("p_partkey", S.content_hash(name=F.col("p_name"), size=F.col("p_size")).alias("content_hash"), at["col"].alias("col"), at["row"].alias("row"))
+
+
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type AS action, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")
+def stream_activity(t):
+    return K.activity(t("events").select("ts", F.col("event_type").alias("action")), "1 hour")
+
+
+@query("""WITH g AS (SELECT user_id AS key, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS fresh FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT key, ts, sum(fresh) OVER (PARTITION BY key ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
+SELECT key, min(ts) AS start, max(ts) + INTERVAL '30 minutes' AS "end", count(*) AS n FROM s GROUP BY key, s""")
+def stream_sessions(t):
+    return K.sessions(t("events").select("ts", F.col("user_id").alias("key")), "30 minutes")
+
+
+@query(r"""WITH l AS (SELECT doc_id AS file, string_split_regex(regexp_replace(text, '(\r\n|\r|\n)\z', ''), '\r\n|\r|\n') AS l FROM documents WHERE text <> '')
+SELECT file, unnest(generate_series(1, len(l))) AS line, unnest(l) AS text FROM l""")
+def text_lines(t):
+    return P.text_lines(t("documents").select(F.col("doc_id").alias("file"), "text"))
+
+
+@query("WITH e AS (SELECT event_id AS file, props::JSON AS p FROM events WHERE props IS NOT NULL) SELECT file, 0 AS row, unnest(json_keys(p)) AS field, p ->> unnest(json_keys(p)) AS value FROM e")
+def json_cells(t):
+    return P.json_cells(t("events").filter("props is not null").select(F.col("event_id").alias("file"), F.concat(F.lit("["), "props", F.lit("]")).alias("text")))
