@@ -11,6 +11,7 @@ from ..operators import evidence as E
 from ..operators import graphs as G
 from ..operators import rules as R
 from ..operators import tables as T
+from ..operators import validation as V
 from ..sources import packages as P
 from ..streaming import streams as K
 
@@ -481,3 +482,35 @@ def text_lines(t):
 @query("WITH e AS (SELECT event_id AS file, props::JSON AS p FROM events WHERE props IS NOT NULL) SELECT file, 0 AS row, unnest(json_keys(p)) AS field, p ->> unnest(json_keys(p)) AS value FROM e")
 def json_cells(t):
     return P.json_cells(t("events").filter("props is not null").select(F.col("event_id").alias("file"), F.concat(F.lit("["), "props", F.lit("]")).alias("text")))
+
+
+@query("""WITH c AS (SELECT l_orderkey AS k, min((l_linenumber, l_suppkey)) AS b FROM lineitem GROUP BY 1)
+SELECT o_orderkey AS rule_id, (SELECT l_suppkey FROM lineitem WHERE l_orderkey = k AND (l_linenumber, l_suppkey) = b LIMIT 1) AS source_id FROM orders JOIN c ON o_orderkey = k
+WHERE (SELECT min(l_linenumber) FROM lineitem WHERE l_orderkey = k) < substr(o_orderpriority, 1, 1)::INT""")
+def check_authority_order(t):
+    rules = t("orders").select(F.col("o_orderkey").alias("rule_id"), F.substring("o_orderpriority", 1, 1).cast("int").alias("rank"))
+    return V.check_authority_order(rules, t("lineitem").select(F.col("l_orderkey").alias("rule_id"), F.col("l_suppkey").alias("source_id"), F.col("l_linenumber").alias("rank")))
+
+
+def _versions(t) -> DataFrame:
+    major = (F.col("o_orderkey") % 9).cast("string")
+    return t("orders").select(F.col("o_orderkey").alias("version_id"), F.col("o_custkey").alias("rule_id"), F.when(major != "0", F.concat(major, F.lit(".0.0"))).alias("version"), F.substring("o_orderpriority", 1, 1).alias("author"), (F.col("o_orderkey") % 7).cast("string").alias("approver"))
+
+
+@query("""WITH v AS (SELECT o_orderkey AS id, o_custkey AS rule, CASE WHEN o_orderkey % 9 <> 0 THEN (o_orderkey % 9) || '.0.0' END AS version, substr(o_orderpriority, 1, 1) = (o_orderkey % 7)::VARCHAR AS own FROM orders),
+w AS (SELECT *, count(*) OVER (PARTITION BY rule) AS n, count(*) OVER (PARTITION BY rule, version) AS same FROM v)
+SELECT id AS version_id, 'MISSING_VERSION' AS issue FROM w WHERE version IS NULL UNION ALL SELECT id, 'DUPLICATE_VERSION' FROM w WHERE version IS NOT NULL AND same > 1
+UNION ALL SELECT id, 'LONE_VERSION' FROM w WHERE n = 1 AND version <> '1.0.0' UNION ALL SELECT id, 'SELF_APPROVED' FROM w WHERE own""")
+def validate_versions(t):
+    return V.validate_versions(_versions(t))
+
+
+@query("""SELECT o_custkey AS rule_id, count(*) AS versions, count(*) FILTER (WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A')) AS unapproved FROM orders GROUP BY 1""")
+def approval_completeness(t):
+    return V.approval_completeness(_versions(t), t("lineitem").filter("l_returnflag = 'A'").select(F.col("l_orderkey").alias("version_id")))
+
+
+@query("SELECT o_custkey AS authoritative_id, count(DISTINCT o_orderkey) AS cases FROM orders WHERE o_orderstatus = 'F' AND o_custkey IS NOT NULL GROUP BY 1 HAVING count(DISTINCT o_orderkey) > 1")
+def production_id_collisions(t):
+    mode = F.when(F.col("o_orderstatus") == "F", "production").otherwise("test")
+    return V.production_id_collisions(t("orders").select(F.col("o_orderkey").alias("case_id"), F.col("o_custkey").alias("authoritative_id"), mode.alias("mode")))
