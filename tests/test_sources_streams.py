@@ -59,3 +59,12 @@ def test_intake_stream(spark, tmp_path):
     q = K.intake(spark, str(tmp_path / "in")).writeStream.foreachBatch(K.screened(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_snapshot_differences(spark, tmp_path):
+    schema = "path string, sha256 string"
+    step = K.diffs(spark.createDataFrame([], schema), str(tmp_path))
+    first, second = spark.createDataFrame([("a", "1"), ("b", "1")], schema), spark.createDataFrame([("b", "2"), ("c", "1")], schema)
+    for number, batch in ((0, first), (1, second), (1, second)):
+        step(batch, number)
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "diff=1")).collect()} == {("a", "removed"), ("b", "changed"), ("c", "added")}
