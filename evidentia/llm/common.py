@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -41,8 +42,18 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def release_memory() -> None:
+    """Hands memory that Arrow and the C library keep for later back to the system. Reused Python workers would
+    otherwise hold the most that any earlier task needed, beside an executor's JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim:
+        trim(0)
+
+
 def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 20, max_rows: int = 4096):
-    """Cuts a batch into runs of whole texts of about ``max_bytes``; yields (first row, texts as a StringArray)."""
+    """Cuts a batch into runs of whole texts of about ``max_bytes``; yields (first row, texts as a StringArray).
+    Memory of the slices goes back to the system at the end of the batch."""
     texts = batch.column(column)
     if texts.type != pa.large_string():
         texts = texts.cast(pa.large_string())
@@ -59,3 +70,4 @@ def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 20, ma
         hi = min(max(hi, lo + 1), lo + max_rows, n)
         yield lo, texts.slice(lo, hi - lo)
         lo = hi
+    release_memory()

@@ -13,6 +13,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -210,12 +211,13 @@ def _clean(automata, max_span: int, max_coverage: float):
                 for d in np.unique(w.doc[hit]).tolist():
                     bad[lo + d] = one(texts[d].as_py())
             if bad:
-                texts = batch.column(k).to_pylist()
-                for i, x in bad.items():
-                    texts[i] = x
-                field = batch.schema.field(k)
-                batch = batch.set_column(k, field, pa.array(texts, field.type))
-                batch = batch.filter(pa.array([bad.get(i, "") is not None for i in range(batch.num_rows)]))
+                field, at = batch.schema.field(k), np.array(sorted(bad))
+                changed = np.zeros(batch.num_rows, bool)
+                changed[at] = True
+                new = pa.array([bad[i] for i in at.tolist()], field.type)
+                keep = ~changed
+                keep[at] = new.is_valid()
+                batch = batch.set_column(k, field, pc.replace_with_mask(batch.column(k), pa.array(changed), new)).filter(pa.array(keep))
             yield batch
 
     return run

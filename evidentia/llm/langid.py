@@ -245,7 +245,7 @@ def train(labelled: DataFrame, per_language: int = 400, rounds: int = 3, max_wor
 def _label(model):
     def run(batches):
         for batch in batches:
-            for lo, texts in text_slices(batch, "text", 4 << 20):
+            for lo, texts in text_slices(batch, "text"):
                 lang, score = model.value.predict(texts)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, len(texts)), pa.array(lang), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
@@ -271,7 +271,7 @@ def labelled(docs: DataFrame, model: UnigramModel) -> DataFrame:
     def run(batches):
         for batch in batches:
             k = batch.schema.get_field_index("lang")
-            lang = [x for _, texts in text_slices(batch, "text", 4 << 20) for x in shared.value.predict(texts)[0]]
+            lang = [x for _, texts in text_slices(batch, "text") for x in shared.value.predict(texts)[0]]
             yield batch.set_column(k, batch.schema.field(k), pa.array(lang, batch.schema.field(k).type))
 
     return docs.mapInArrow(run, docs.schema)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_path
+from .common import scratch_path, text_slices
 
 _RUN = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 #: White space and separators that str.split() would also split at.
@@ -42,9 +42,9 @@ class WordEncoder:
     A text is split into runs of non-space characters. A run met before comes from a table; a plain one is split as
     the tokenizer's pre-tokenizer splits it and its pieces go to the tokenizers library's model; any other run goes
     through the whole tokenizer. At ``max_known`` entries the table of runs becomes the
-    older one, asked second, and a new one begins; runs over 64 characters never enter."""
+    older one, asked second, and a new one begins (that of pieces begins anew); runs over 64 characters never enter."""
 
-    def __init__(self, path: str, max_known: int = 600_000):
+    def __init__(self, path: str, max_known: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -63,7 +63,7 @@ class WordEncoder:
             mapped = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
             got = pack("<%dI" % len(ids := [t.id for t in self.model.tokenize(mapped)]), *ids)
             if len(piece) <= 64:
-                if len(self.pieces) >= 500_000:
+                if len(self.pieces) >= self.max_known:
                     self.pieces = {}
                 self.pieces[piece] = got
         return got
@@ -111,21 +111,14 @@ def _encode(tokenizer: str, end_id: int):
     def run(batches):
         enc = _encoder(tokenizer)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            lo = 0
-            while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size < 1 << 20):
-                    size += len(texts[hi] or "")
-                    hi += 1
-                ids = [x + end for x in enc.encode([x or "" for x in texts[lo:hi]])]
+            for lo, texts in text_slices(batch, "text"):
+                ids = [x + end for x in enc.encode(texts.to_pylist())]
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, hi - lo), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), pa.array(flat))],
+                    [batch.column("doc_id").slice(lo, len(ids)), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), pa.array(flat))],
                     ["doc_id", "n_tokens", "ids"],
                 )
-                lo = hi
 
     return run
 
