@@ -38,3 +38,24 @@ def approval_completeness(versions: DataFrame, approvals: DataFrame) -> DataFram
 def production_id_collisions(cases: DataFrame) -> DataFrame:
     """cases(case_id, authoritative_id, mode) -> authoritative ids with more than one production case, and how many."""
     return cases.filter("mode = 'production' and authoritative_id is not null").groupBy("authoritative_id").agg(F.countDistinct("case_id").alias("cases")).filter("cases > 1")
+
+
+def containment_parent(artifacts: DataFrame, edges: DataFrame) -> DataFrame:
+    """artifacts(artifact_id, extracted), edges(artifact_id, parent_hash) -> (artifact_id, parents, issue): an extracted
+    member needs exactly one distinct parent, any other artifact has one at most. Null parents count as none; edges
+    reduce to one row an artifact before the join."""
+    ends = edges.groupBy("artifact_id").agg(F.countDistinct("parent_hash").alias("n"))
+    n = F.coalesce("n", F.lit(0))
+    issue = F.when(F.col("extracted") & (n == 0), "NO_PARENT").when(n > 1, "SEVERAL_PARENTS")
+    return artifacts.join(ends, "artifact_id", "left").select("artifact_id", n.alias("parents"), issue.alias("issue")).filter("issue is not null")
+
+
+def dedupe_citations(citations: DataFrame) -> DataFrame:
+    """Distinct (source_hash, locator, description) of each rule; equal nulls are one."""
+    return citations.select("rule_id", "source_hash", "locator", "description").distinct()
+
+
+def distinct_rule_rows(formulas: DataFrame) -> DataFrame:
+    """formulas(rule_id, position, conditions array) -> per rule its first occurrence, conditions joined by "; "."""
+    first = formulas.groupBy("rule_id").agg(F.min_by(F.struct("position", "conditions"), "position").alias("f"))
+    return first.select("rule_id", F.col("f.position").alias("position"), F.array_join("f.conditions", "; ").alias("conditions"))

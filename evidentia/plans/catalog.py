@@ -514,3 +514,20 @@ def approval_completeness(t):
 def production_id_collisions(t):
     mode = F.when(F.col("o_orderstatus") == "F", "production").otherwise("test")
     return V.production_id_collisions(t("orders").select(F.col("o_orderkey").alias("case_id"), F.col("o_custkey").alias("authoritative_id"), mode.alias("mode")))
+
+
+@query("""WITH e AS (SELECT l_orderkey AS k, count(DISTINCT l_returnflag) AS n FROM lineitem WHERE l_linenumber > 1 GROUP BY 1), j AS (SELECT o_orderkey AS artifact_id, coalesce(n, 0) AS parents,
+CASE WHEN o_orderkey % 2 = 0 AND n IS NULL THEN 'NO_PARENT' WHEN n > 1 THEN 'SEVERAL_PARENTS' END AS issue FROM orders LEFT JOIN e ON k = o_orderkey) SELECT * FROM j WHERE issue IS NOT NULL""")
+def containment_parent(t):
+    edges = t("lineitem").filter("l_linenumber > 1").select(F.col("l_orderkey").alias("artifact_id"), F.col("l_returnflag").alias("parent_hash"))
+    return V.containment_parent(t("orders").select(F.col("o_orderkey").alias("artifact_id"), (F.col("o_orderkey") % 2 == 0).alias("extracted")), edges)
+
+
+@query("SELECT DISTINCT o_custkey AS rule_id, o_orderpriority AS source_hash, o_orderstatus AS locator, strftime(o_orderdate::DATE, '%Y') AS description FROM orders")
+def dedupe_citations(t):
+    return V.dedupe_citations(t("orders").select(F.col("o_custkey").alias("rule_id"), F.col("o_orderpriority").alias("source_hash"), F.col("o_orderstatus").alias("locator"), F.date_format("o_orderdate", "yyyy").alias("description")))
+
+
+@query("SELECT o_custkey AS rule_id, min(o_orderkey) AS position, arg_min(o_orderpriority || '; ' || o_orderstatus, o_orderkey) AS conditions FROM orders GROUP BY 1")
+def distinct_rule_rows(t):
+    return V.distinct_rule_rows(t("orders").select(F.col("o_custkey").alias("rule_id"), F.col("o_orderkey").alias("position"), F.array("o_orderpriority", "o_orderstatus").alias("conditions")))
