@@ -24,12 +24,18 @@ def exact_duplicate_relationships(artifacts: DataFrame) -> DataFrame:
     return mark_duplicates(artifacts).filter("status = 'duplicate'").select(F.col("first_id").alias("from_id"), F.col("artifact_id").alias("to_id"), F.lit(1.0).alias("confidence"))
 
 
+#: Fixed value: documents of one prefix shingle that meet in one block; more are split into blocks that meet in pairs.
+BLOCK = 256
+
+
 def near_duplicate_pairs(docs: DataFrame, threshold: float, width: int = 3) -> DataFrame:
     """docs(artifact_id, text) -> (from_id, to_id, similarity): exact Jaccard of word shingles, between the first
-    artifacts of each content.
+    artifacts of each content; ``near_duplicate_members`` gives the copies of each back. Texts without a word are equal:
+    each is linked to the first of them, not to all.
 
     Prefix filter: shingles are ordered by ascending document frequency, and two sets of similarity t share one of
-    their first n - ceil(t n) + 1. Only prefixes join, sizes must fit, and full sets confirm.
+    their first n - ceil(t n) + 1. Only prefixes join, sizes must fit, and full sets confirm. The documents of a prefix
+    shingle meet in pairs of blocks, so that no task takes all of a hot one.
     """
     text = normalize_comparable_text(F.coalesce("text", F.lit("")))
     d = docs.select("artifact_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"), text.alias("t"))
@@ -40,14 +46,27 @@ def near_duplicate_pairs(docs: DataFrame, threshold: float, width: int = 3) -> D
     rare = flat.join(df, "g").filter("df > 1 or n = 1")
     order = Window.partitionBy("artifact_id").orderBy("df", "g")
     # shingles of one document only come first in the order and join nothing: they use up prefix places
-    alone = sets.join(rare.groupBy("artifact_id").agg(F.count("*").alias("k")), "artifact_id").select("artifact_id", (F.col("n") - F.col("k")).alias("alone"))
-    pre = rare.withColumn("r", F.row_number().over(order)).join(alone, "artifact_id").filter(F.col("r") + F.col("alone") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
-    a, b = (pre.select("g", F.col("artifact_id").alias(i), F.col("n").alias(m)) for i, m in (("from_id", "na"), ("to_id", "nb")))
-    pairs = a.join(b, "g").filter((F.col("from_id") < F.col("to_id")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9)).select("from_id", "to_id").distinct()
+    alone = F.col("n") - F.count("*").over(Window.partitionBy("artifact_id"))
+    pre = rare.withColumns({"r": F.row_number().over(order), "alone": alone}).filter(F.col("r") + F.col("alone") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
+    blocks = pre.groupBy("g").agg(F.count("*").alias("docs")).filter("docs > 1").select("g", F.ceil(F.col("docs") / BLOCK).alias("blocks"))
+    pre = pre.join(blocks, "g").withColumn("b", F.pmod(F.xxhash64("artifact_id"), "blocks"))
+    a = pre.select("g", F.col("b").alias("i"), F.explode(F.sequence("b", F.col("blocks") - 1)).alias("j"), F.col("artifact_id").alias("x"), F.col("n").alias("na"))
+    b = pre.select("g", F.explode(F.sequence(F.lit(0).cast("long"), "b")).alias("i"), F.col("b").alias("j"), F.col("artifact_id").alias("y"), F.col("n").alias("nb"))
+    met = a.join(b, ["g", "i", "j"]).filter(((F.col("i") < F.col("j")) | (F.col("x") < F.col("y"))) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9))
+    pairs = met.select(F.least("x", "y").alias("from_id"), F.greatest("x", "y").alias("to_id")).distinct()
     x = pairs.join(sets.select(F.col("artifact_id").alias("from_id"), F.col("s").alias("x")), "from_id").join(sets.select(F.col("artifact_id").alias("to_id"), F.col("s").alias("y")), "to_id")
     both = F.size(F.array_intersect("x", "y"))
     x = x.withColumn("similarity", F.round(both / (F.size("x") + F.size("y") - both), 6))
-    return x.filter(F.col("similarity") >= threshold).select("from_id", "to_id", "similarity")
+    x = x.filter(F.col("similarity") >= threshold).select("from_id", "to_id", "similarity")
+    wordless = sets.filter("n = 0").select("artifact_id", "n")
+    first = wordless.groupBy("n").agg(F.min("artifact_id").alias("from_id"))
+    return x.unionByName(wordless.join(F.broadcast(first), "n").filter("from_id < artifact_id").select("from_id", F.col("artifact_id").alias("to_id"), F.lit(1.0).alias("similarity")))
+
+
+def near_duplicate_members(docs: DataFrame) -> DataFrame:
+    """docs(artifact_id, text) -> one row per artifact with the one that stands for its content in the pairs."""
+    d = docs.select("artifact_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
+    return mark_duplicates(d).select("artifact_id", F.col("first_id").alias("representative_id"), "status")
 
 
 def snapshot_totals(entries: DataFrame) -> DataFrame:

@@ -64,6 +64,12 @@ def near_duplicate_pairs(t):
     return E.near_duplicate_pairs(_docs(t), 0.6)
 
 
+@query("""WITH f AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS f FROM documents)
+SELECT doc_id AS artifact_id, f AS representative_id, CASE WHEN doc_id = f THEN 'unique' ELSE 'duplicate' END AS status FROM f""")
+def near_duplicate_members(t):
+    return E.near_duplicate_members(_docs(t))
+
+
 @query(f"WITH {_H} SELECT count(*) AS entries, sum(size_bytes)::BIGINT AS total_bytes, sum(('0x' || substr(sha256, 1, 12))::BIGINT)::VARCHAR AS snapshot_id FROM h")
 def snapshot_totals(t):
     return E.snapshot_totals(_hashed(t))

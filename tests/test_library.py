@@ -61,6 +61,25 @@ def test_similarity_plans_have_no_cartesian_product(spark):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_near_duplicates_link_wordless_texts_and_give_copies_back(spark):
+    docs = spark.createDataFrame([(1, "!!"), (2, "a b c d"), (3, "--"), (4, "a b c d"), (5, None), (6, "A b, c d"), (7, "!!")], "artifact_id long, text string")
+    assert sorted(map(tuple, E.near_duplicate_pairs(docs, 0.6).collect())) == [(1, 3, 1.0), (1, 5, 1.0), (2, 6, 1.0)]
+    assert sorted((r.artifact_id, r.representative_id) for r in E.near_duplicate_members(docs).collect()) == [(1, 1), (2, 2), (3, 3), (4, 2), (5, 5), (6, 6), (7, 1)]
+
+
+def test_near_duplicates_of_a_hot_shingle_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(E, "BLOCK", 3)
+    rows = [(i, "the same long first part of a family of texts " + " ".join(f"w{i * k % 5}" for k in range(i % 4))) for i in range(40)]
+    sets = {}
+    for i, t in rows:
+        w = t.split()
+        sets.setdefault(t, (i, {tuple(w[k : k + 3]) for k in range(len(w) - 2)}))
+    first = sorted(sets.values(), key=lambda x: x[0])
+    want = {(i, j) for i, a in first for j, b in first if i < j and len(a & b) / len(a | b) >= 0.6}
+    got = [(r.from_id, r.to_id) for r in E.near_duplicate_pairs(spark.createDataFrame(rows, "artifact_id long, text string"), 0.6).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
+
+
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_equals_its_oracle(spark, name):
     got = catalog.QUERIES[name](spark, SF).toPandas()
