@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import normalize_ascii_text, token_shingles
+
 
 def rules_effective_on(rules: DataFrame, day: Column) -> DataFrame:
     """Half-open periods [start_date, end_date); null end is open."""
@@ -102,14 +104,45 @@ def threshold_evaluation(facts: DataFrame, rules: DataFrame) -> DataFrame:
     return out.select("case_id", "matches", F.when(F.col("p").isNull(), "blocked").when(F.col("matches") == 0, "inconclusive").otherwise(F.col("c")).alias("conclusion"))
 
 
-def detect_supersession(candidates: DataFrame, wording: str = "amend|replac|supersed") -> DataFrame:
-    """candidates(provision, position, candidate_id, text): a later candidate of one provision whose text has amendment
-    wording follows the one just before it, and supersedes it where the wording says so."""
+def adjacent_amendments(candidates: DataFrame, wording: str) -> DataFrame:
+    """candidates(provision, position, candidate_id, text): each candidate with the wording, linked to the one row
+    before it only. ``detect_supersession`` is the whole job."""
     by = Window.partitionBy("provision").orderBy("position")
-    low = F.lower("text")
     c = candidates.withColumn("prior", F.lag("candidate_id").over(by))
-    kind = F.when(low.rlike("replac|supersed"), "supersession").otherwise("amendment")
-    return c.filter(F.col("prior").isNotNull() & low.rlike(wording)).select("provision", F.col("prior").alias("from_id"), F.col("candidate_id").alias("to_id"), kind.alias("kind"))
+    return c.filter(F.col("prior").isNotNull() & F.lower("text").rlike(wording)).select("provision", F.col("prior").alias("from_id"), F.col("candidate_id").alias("to_id"), F.lit("amendment").alias("kind"))
+
+
+#: Wording of an amendment, and the part of it that supersedes; ASCII word boundaries.
+SUPERSEDING = "replac(?:e|es|ed|ement)|supersed(?:e|es|ed|ing)"
+AMENDING = f"amend(?:ed|ment)?|restat(?:ed|ement)|{SUPERSEDING}"
+#: Fixed value: candidates of one provision that meet in one block; more are split into blocks that meet in pairs.
+BLOCK = 256
+
+
+def detect_supersession(candidates: DataFrame, least: float = 0.72, wording: str = AMENDING) -> DataFrame:
+    """candidates(provision, position, candidate_id, text) -> (provision, from_id, to_id, kind, similarity, confidence):
+    every strictly earlier candidate of the provision, where the later text has amendment wording or the two are
+    similar by ``least`` (Jaccard of ASCII word shingles, 6 places; without a word, equal). Null positions and null
+    provisions link nothing. The candidates of a provision meet in pairs of blocks, so that no task takes all of a hot one.
+    """
+    low = F.lower(F.coalesce("text", F.lit("")))
+    says = lambda words: low.rlike(f"(?<![a-z0-9_])(?:{words})(?![a-z0-9_])")
+    plain = normalize_ascii_text(low)
+    words = F.filter(F.split(plain, " "), lambda w: w != "")
+    shingles = F.when(F.size(words) < 3, F.array_distinct(words)).otherwise(token_shingles(plain))
+    c = candidates.filter("provision is not null and position is not null")
+    blocks = c.groupBy("provision").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    c = c.select("provision", "position", "candidate_id", shingles.alias("s"), says(wording).alias("amends"), says(SUPERSEDING).alias("supersedes"))
+    c = c.join(blocks, "provision").withColumn("b", F.pmod(F.xxhash64("candidate_id"), "blocks"))
+    # an ordered pair of blocks (i, j) holds the earlier candidate in i and the later one in j
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    p = c.select("provision", F.col("b").alias("i"), F.explode(every).alias("j"), F.col("position").alias("_from"), F.col("candidate_id").alias("from_id"), F.col("s").alias("x"))
+    s = c.select("provision", F.explode(every).alias("i"), F.col("b").alias("j"), F.col("position").alias("_to"), F.col("candidate_id").alias("to_id"), F.col("s").alias("y"), "amends", "supersedes")
+    both = F.size(F.array_intersect("x", "y"))
+    similarity = F.when((F.size("x") == 0) & (F.size("y") == 0), 1.0).otherwise(F.round(both / (F.size("x") + F.size("y") - both), 6))
+    m = p.join(s, ["provision", "i", "j"]).filter("_from < _to").withColumn("similarity", similarity).filter(F.col("amends") | (F.col("similarity") >= least))
+    confidence = F.round(F.least(F.lit(0.99), F.col("similarity") * 0.7 + F.when(F.col("amends"), 0.25).otherwise(0.0)), 6)
+    return m.select("provision", "from_id", "to_id", F.when(F.col("supersedes"), "supersession").otherwise("amendment").alias("kind"), "similarity", confidence.alias("confidence"))
 
 
 def blocked_by_unresolved(rules: DataFrame, items: DataFrame) -> DataFrame:

@@ -197,8 +197,21 @@ def threshold_evaluation(t):
 @query("""WITH c AS (SELECT conv_id AS provision, turn, conv_id * 1000 + turn AS candidate_id, lower(text) AS t, lag(conv_id * 1000 + turn) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations)
 SELECT provision, p AS from_id, candidate_id AS to_id, 'amendment' AS kind FROM c WHERE p IS NOT NULL AND contains(t, 'the')""")
 def detect_supersession(t):
-    c = t("conversations").select(F.col("conv_id").alias("provision"), F.col("turn").alias("position"), (F.col("conv_id") * 1000 + F.col("turn")).alias("candidate_id"), "text")
-    return R.detect_supersession(c, "the").withColumn("kind", F.lit("amendment"))
+    return R.adjacent_amendments(_turns(t), "the")
+
+
+def _turns(t) -> DataFrame:
+    return t("conversations").select(F.col("conv_id").alias("provision"), F.col("turn").alias("position"), (F.col("conv_id") * 1000 + F.col("turn")).alias("candidate_id"), "text")
+
+
+@query(r"""WITH c AS (SELECT conv_id AS provision, turn, conv_id * 1000 + turn AS id, lower(coalesce(text, '')) AS t, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM conversations),
+k AS (SELECT *, list_distinct(CASE WHEN len(w) < 3 THEN w ELSE list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s,
+regexp_matches(t, '\b(amend(ed|ment)?|restat(ed|ement)|replac(e|es|ed|ement)|supersed(e|es|ed|ing))\b') AS amends, regexp_matches(t, '\b(replac(e|es|ed|ement)|supersed(e|es|ed|ing))\b') AS supersedes FROM c),
+m AS (SELECT p.provision, p.id AS from_id, q.id AS to_id, q.amends, q.supersedes, len(list_intersect(p.s, q.s)) AS n, len(p.s) + len(q.s) AS total FROM k p JOIN k q ON p.provision = q.provision AND p.turn < q.turn),
+v AS (SELECT *, CASE WHEN total = 0 THEN 1.0::DOUBLE ELSE round(n / (total - n), 6) END AS similarity FROM m)
+SELECT provision, from_id, to_id, CASE WHEN supersedes THEN 'supersession' ELSE 'amendment' END AS kind, similarity, round(least(0.99, similarity * 0.7 + CASE WHEN amends THEN 0.25 ELSE 0 END), 6)::DOUBLE AS confidence FROM v WHERE amends OR similarity >= 0.72""")
+def supersession_links(t):
+    return R.detect_supersession(_turns(t))
 
 
 @query("""WITH r AS (SELECT p_partkey AS rule_id, p_brand || '/' || p_type AS scope FROM part), i AS (SELECT DISTINCT p_brand AS scope FROM part WHERE p_partkey % 7 = 0)

@@ -80,6 +80,26 @@ def test_near_duplicates_of_a_hot_shingle_meet_in_blocks(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
 
 
+@pytest.mark.parametrize("block", [256, 1])
+def test_supersession_links_every_earlier_candidate(spark, monkeypatch, block):
+    monkeypatch.setattr(R, "BLOCK", block)
+    rows = [("p", 1, 1, "one two three four five six"), ("p", 2, 2, "one two three four five six"), ("p", 2, 3, "This was amended."), ("p", 3, 4, "It is REPLACED by this"), ("p", 4, 5, "one two three four five six seven"), ("q", 5, 6, "one two three four five six"), ("p", 5, 7, "irreplaceable")]
+    got = R.detect_supersession(spark.createDataFrame(rows, "provision string, position int, candidate_id int, text string"))
+    want = {(1, 2, "amendment", 1.0, 0.7), (1, 3, "amendment", 0.0, 0.25), (1, 4, "supersession", 0.0, 0.25), (2, 4, "supersession", 0.0, 0.25), (3, 4, "supersession", 0.0, 0.25), (1, 5, "amendment", 0.8, 0.56), (2, 5, "amendment", 0.8, 0.56)}
+    told = [(r.from_id, r.to_id, r.kind, r.similarity, r.confidence) for r in got.collect()]
+    assert len(told) == len(want) and set(told) == want
+
+
+def test_supersession_links_equal_their_oracle_where_there_are_links(spark, tmp_path):
+    texts = ["one two three four five six", "one two three four five six seven", "This was amended.", "", "!", "replaces x", "a b", "b a a", "irreplaceable", "restated: one two three four five"]
+    pd.DataFrame([(c, k, x) for c in (1, 2) for k, x in enumerate(texts[c - 1 :] + texts)], columns=["conv_id", "turn", "text"]).to_parquet(tmp_path / "conversations.parquet")
+    got = catalog.QUERIES["supersession_links"](spark, str(tmp_path)).toPandas()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet')")
+    want = con.execute(catalog.ORACLE["supersession_links"]).df()[list(got.columns)]
+    assert len(want) > 50 and sorted(got.itertuples(index=False, name=None)) == sorted(want.itertuples(index=False, name=None))
+
+
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_equals_its_oracle(spark, name):
     got = catalog.QUERIES[name](spark, SF).toPandas()
