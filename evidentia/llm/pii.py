@@ -23,6 +23,16 @@ CONTEXT_WORDS = {
 #: Score of a kind before its context: the stronger the check, the higher.
 PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.2}
 CONTEXT, BONUS, LEAST = 40, 0.3, 0.5
+#: Length of an IBAN by its country.
+IBAN_LENGTH = {
+    c: n
+    for n, codes in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in codes.split()
+}
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -30,7 +40,8 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}")
+_IBAN_REST = {n: re.compile(rf"(?:\x20?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])") for n in range(15, 35)}
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -50,6 +61,21 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _ibans(text: str):
+    """Leftmost, non-overlapping: cut to the length of the country, so what follows a space is never taken in. A code
+    without a known length takes the longest run of whole tokens that is confirmed."""
+    low = 0
+    for head in _IBAN.finditer(text):
+        if head.start() >= low:
+            known = IBAN_LENGTH.get(head[0][:2])
+            for n in (known,) if known else range(34, 14, -1):
+                m = _IBAN_REST[n].match(text, head.end())
+                if m and mod97(text[head.start() : m.end()]):
+                    yield head.start(), m.end()
+                    low = m.end()
+                    break
+
+
 def _emails(text: str):
     """Leftmost, non-overlapping: the local part is the run before an at-sign, never shared between two."""
     low, at = 0, text.find("@")
@@ -87,7 +113,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 def scored_spans(text: str) -> list[tuple[int, int, str, float]]:
     """Base spans, which always stay, and confirmed ones of further kinds whose score is LEAST at least."""
     spans = [(*s, True) for s in base_spans(text)]
-    spans += [(*m.span(), "iban", False) for m in _IBAN.finditer(text) if mod97(m[0])]
+    spans += [(*s, "iban", False) for s in _ibans(text)]
     spans += [(*m.span(), "ssn", False) for m in _SSN.finditer(text)]
     out = []
     for a, b, kind, stays in spans:

@@ -92,6 +92,16 @@ def test_pii_equals_the_plain_patterns():
     assert pii.mod97("GB82 WEST 1234 5698 7654 32") and not pii.mod97("GB82 WEST 1234 5698 7654 33")
 
 
+def test_pii_ibans_end_where_their_country_says():
+    told = lambda text: [text[a:b] for a, b, k, _ in pii.scored_spans(text) if k == "iban"]
+    for iban in ("DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO9386011117947", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"):
+        for tail in ("", " EUR 500", " 2024-01-01", " A", ". Next", " GB82 WEST 1234 5698 7654 33"):
+            assert told(f"IBAN {iban}{tail}") == [iban], (iban, tail)
+        assert told(f"{iban} {iban} 7") == [iban, iban] and told(f"AB12 {iban} EUR") == [iban] and told(f"{iban}X") == []
+    assert told("DE89 3704 0044 0532 0130 01 EUR 500") == []
+    assert told("XX" + f"{98 - int('1' * 14 + '333300') % 97:02d}" + "1" * 14 + " EUR") == ["XX" + f"{98 - int('1' * 14 + '333300') % 97:02d}" + "1" * 14]
+
+
 def test_pii_rows(docs):
     got = pii.find_pii(docs).collect()
     assert len(got) == len(ODD)
