@@ -61,6 +61,12 @@ def token_shingles(normalized: Column, width: int = 3) -> Column:
     return F.transform(F.array(t), grams)[0]
 
 
+def signal_tokens(text: Column) -> Column:
+    """Distinct lower-case runs of letters, marks, digits and underscores, 2 to 40 characters, not digits alone."""
+    runs = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{M}\p{N}_]+"), F.lit(0))
+    return F.array_distinct(F.filter(runs, lambda x: F.length(x).between(2, 40) & ~x.rlike("^[0-9]+$")))
+
+
 def parse_evidence_date(text: Column) -> Column:
     """ISO, M/D/YYYY or "Month D, YYYY"; an impossible date is null and never rolls over."""
     return F.coalesce(F.try_to_date(text, "yyyy-MM-dd"), F.try_to_date(text, "M/d/yyyy"), F.try_to_date(text, "MMMM d, yyyy"))

@@ -404,6 +404,16 @@ def match_references_topk(t):
     return T.match_references_topk(tokens(t("documents"), "doc_id", "doc_id"), tokens(t("benchmark"), "item_id", "ref_id"))
 
 
+@query(r"""WITH d0 AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+')) AS token FROM documents), r0 AS (SELECT item_id AS ref_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+')) AS token FROM benchmark),
+d AS (SELECT DISTINCT doc_id, token FROM d0 WHERE length(token) BETWEEN 2 AND 40 AND NOT regexp_full_match(token, '[0-9]+')), r AS (SELECT DISTINCT ref_id, token FROM r0 WHERE length(token) BETWEEN 2 AND 40 AND NOT regexp_full_match(token, '[0-9]+')),
+n AS (SELECT ref_id, count(*) AS n FROM r GROUP BY 1), m AS (SELECT doc_id, ref_id, count(*) AS shared FROM d JOIN r USING (token) GROUP BY ALL),
+s AS (SELECT doc_id, ref_id, floor(shared / n * 100.0 + 0.5)::BIGINT AS score, row_number() OVER (PARTITION BY doc_id ORDER BY floor(shared / n * 100.0 + 0.5) DESC, shared DESC, ref_id) AS rank FROM m JOIN n USING (ref_id))
+SELECT doc_id, rank, ref_id, score FROM s WHERE rank <= 5""")
+def match_references_all_tokens(t):
+    tokens = lambda df, i, n: df.select(F.col(i).alias(n), F.explode(S.signal_tokens(F.col("text"))).alias("token"))
+    return T.match_references_topk(tokens(t("documents"), "doc_id", "doc_id"), tokens(t("benchmark"), "item_id", "ref_id"))
+
+
 @query("""SELECT p_partkey AS cell_id, r_name AS run, CASE WHEN contains(lower(p_type), 'steel') AND r_name = 'ASIA' THEN 'I' WHEN contains(lower(p_type), 'steel') THEN 'O' WHEN contains(lower(p_type), 'brass') THEN 'B' ELSE '' END AS class FROM part, region""")
 def classify_fields(t):
     rule = lambda f, r, c, p: F.struct(F.lit(f).alias("field_pattern"), F.lit(r).alias("run_pattern"), F.lit(c).alias("class"), F.lit(p).alias("priority"))

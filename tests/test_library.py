@@ -100,6 +100,14 @@ def test_supersession_links_equal_their_oracle_where_there_are_links(spark, tmp_
     assert len(want) > 50 and sorted(got.itertuples(index=False, name=None)) == sorted(want.itertuples(index=False, name=None))
 
 
+def test_references_match_on_short_accented_and_numbered_tokens(spark, tmp_path):
+    pd.DataFrame([(1, "the cat sat on a mat"), (2, "Été à Zürich"), (3, "b2 2024"), (4, "x " * 3)], columns=["doc_id", "text"]).to_parquet(tmp_path / "documents.parquet")
+    pd.DataFrame([(1, "The cat"), (2, "l'ÉTÉ, zürich"), (3, "B2 in 2024"), (4, "x y")], columns=["item_id", "text"]).to_parquet(tmp_path / "benchmark.parquet")
+    got = {tuple(r) for r in catalog.QUERIES["match_references_all_tokens"](spark, str(tmp_path)).select("doc_id", "ref_id", "score").collect()}
+    assert got == {(1, 1, 100), (2, 2, 100), (3, 3, 50)}
+    assert spark.createDataFrame([("a" * 40 + " " + "b" * 41 + " 12 a_1 e\u0301t A_1",)], "t string").select(S.signal_tokens(F.col("t")).alias("s")).first().s == ["a" * 40, "a_1", "e\u0301t"]
+
+
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_equals_its_oracle(spark, name):
     got = catalog.QUERIES[name](spark, SF).toPandas()
