@@ -9,10 +9,18 @@ from ..functions.scalars import normalize_comparable_text, token_shingles
 
 
 def exact_duplicate_groups(artifacts: DataFrame) -> DataFrame:
-    """artifacts(artifact_id, sha256) -> groups of more than one artifact with one content."""
+    """artifacts(artifact_id, sha256) -> groups of more than one artifact with one content. A group is one row with all
+    its ids; ``exact_duplicate_members`` does without such rows."""
     return artifacts.groupBy("sha256").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("artifact_id")).alias("artifact_ids")).filter("n > 1")
 
 
+def exact_duplicate_members(artifacts: DataFrame) -> DataFrame:
+    """artifacts(artifact_id, sha256) -> one row per artifact of a group of more than one: its content, the first of the
+    group and how many there are. No row or buffer grows with a group."""
+    groups = artifacts.groupBy("sha256").agg(F.min("artifact_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1")
+    return artifacts.join(groups, "sha256").select("sha256", "artifact_id", "first_id", "n")
+
+
 def mark_duplicates(entries: DataFrame) -> DataFrame:
     """entries(artifact_id, sha256): the first of each content stays, the rest are duplicates of it."""
     first = entries.groupBy("sha256").agg(F.min("artifact_id").alias("first_id"))

@@ -32,9 +32,11 @@ def missing_required(required: DataFrame, observed: DataFrame, key: str) -> Data
 
 
 def set_equals(a: DataFrame, b: DataFrame, group: str, value: str) -> DataFrame:
-    """Per group whether both sides hold the same set of values."""
-    s = lambda df, n: df.groupBy(group).agg(F.array_sort(F.collect_set(value)).alias(n))
-    return s(a, "x").join(s(b, "y"), group, "full").select(group, F.coalesce(F.col("x") == F.col("y"), F.lit(False)).alias("equal"))
+    """Per group whether both sides hold the same set of values; null is a value, and a null group equals no other. Each
+    value is marked by the sides that hold it, so that no set is collected."""
+    side = lambda df, k: df.select(group, value, F.lit(k == 0).alias("_a"), F.lit(k == 1).alias("_b"), F.when(F.col(group).isNull(), k).alias("_s"))
+    marked = side(a, 0).unionByName(side(b, 1)).groupBy(group, "_s", value).agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"))
+    return marked.groupBy(group, "_s").agg(F.bool_and(F.col("_a") & F.col("_b")).alias("equal")).select(group, "equal")
 
 
 def order_id_audit(order: DataFrame, ids: DataFrame) -> DataFrame:

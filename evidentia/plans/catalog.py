@@ -45,6 +45,11 @@ def exact_duplicate_groups(t):
     return E.exact_duplicate_groups(_hashed(t))
 
 
+@query(f"WITH {_H}, m AS (SELECT sha256, artifact_id, min(artifact_id) OVER (PARTITION BY sha256) AS first_id, count(*) OVER (PARTITION BY sha256) AS n FROM h) SELECT * FROM m WHERE n > 1")
+def exact_duplicate_members(t):
+    return E.exact_duplicate_members(_hashed(t))
+
+
 @query(f"WITH {_H} SELECT artifact_id, min(artifact_id) OVER (PARTITION BY sha256) AS first_id, CASE WHEN artifact_id = min(artifact_id) OVER (PARTITION BY sha256) THEN 'unique' ELSE 'duplicate' END AS status FROM h")
 def mark_duplicates(t):
     return E.mark_duplicates(_hashed(t))

@@ -10,6 +10,7 @@ from evidentia.operators import decisions as D
 from evidentia.operators import evidence as E
 from evidentia.operators import graphs as G
 from evidentia.operators import rules as R
+from evidentia.operators import tables as T
 from evidentia.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -108,6 +109,19 @@ def test_references_match_on_short_accented_and_numbered_tokens(spark, tmp_path)
     assert spark.createDataFrame([("a" * 40 + " " + "b" * 41 + " 12 a_1 e\u0301t A_1",)], "t string").select(S.signal_tokens(F.col("t")).alias("s")).first().s == ["a" * 40, "a_1", "e\u0301t"]
 
 
+def test_groups_and_sets_are_not_collected(spark):
+    a = spark.createDataFrame([(3, "x"), (1, "x"), (2, "y"), (4, "x"), (5, "")], "artifact_id int, sha256 string")
+    members = E.exact_duplicate_members(a)
+    assert sorted(map(tuple, members.collect())) == [("x", 1, 1, 3), ("x", 3, 1, 3), ("x", 4, 1, 3)]
+    one = spark.createDataFrame([("p", 1), ("p", 2), ("p", 2), ("q", 1), ("r", 1), ("s", None), ("s", 1), (None, 1)], "g string, v int")
+    two = spark.createDataFrame([("p", 2), ("p", 1), ("q", 1), ("q", 2), ("s", 1), ("t", 1), (None, 1)], "g string, v int")
+    equal = T.set_equals(one, two, "g", "v")
+    told = [(None, False), (None, False), ("p", True), ("q", False), ("r", False), ("s", False), ("t", False)]
+    assert sorted(map(tuple, equal.collect()), key=str) == sorted(told, key=str)
+    for df in (members, equal):
+        assert "collect_" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_equals_its_oracle(spark, name):
     got = catalog.QUERIES[name](spark, SF).toPandas()
