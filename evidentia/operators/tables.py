@@ -98,11 +98,30 @@ def to_cells(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return df.select(F.col(key).alias("row"), F.inline(pairs))
 
 
-def profile_table(cells: DataFrame) -> DataFrame:
-    """cells(row, field, value) -> per field the rows, distinct values, and how many of each kind of missingness."""
+def profile_fields(cells: DataFrame) -> DataFrame:
+    """cells(row, field, value) -> per field the cells, exact distinct values other than null, and how many of each kind
+    of missingness."""
     k = classify_raw_value(F.col("value"), F.lit(True))
     kinds = ("null", "blank", "formula-text", "leading-zero-text", "malformed", "literal-zero", "text")
-    return cells.withColumn("kind", k).groupBy("field").agg(F.count("*").alias("cells"), F.approx_count_distinct("value").alias("_d"), *(F.count_if(F.col("kind") == x).alias(x.replace("-", "_") + "_cells") for x in kinds)).drop("_d")
+    return cells.withColumn("kind", k).groupBy("field").agg(F.count("*").alias("cells"), F.count_distinct("value").alias("distinct_values"), *(F.count_if(F.col("kind") == x).alias(x.replace("-", "_") + "_cells") for x in kinds))
+
+
+def profile_table(cells: DataFrame) -> DataFrame:
+    """cells(row, field, value) -> per field the cells and how many of each kind of missingness; ``profile_fields`` has
+    the distinct values, ``table_structure`` the checks of headers and widths."""
+    return profile_fields(cells).drop("distinct_values")
+
+
+def table_structure(cells: DataFrame) -> DataFrame:
+    """cells(file, row, col, value) from 0, row 0 the headers -> per file its headers, records, row widths, whether it is
+    sound (headers there and unique, all rows as wide) and the confidence that it is a population."""
+    rows = cells.groupBy("file", "row").agg((F.max("col") + 1).alias("width"))
+    w = rows.groupBy("file").agg(F.count_if(F.col("row") > 0).alias("records"), F.min("width").alias("min_width"), F.max("width").alias("max_width"))
+    h = cells.filter("row = 0").groupBy("file").agg(F.count("*").alias("headers"), F.count_distinct(F.coalesce("value", F.lit(""))).alias("_d"))
+    headers = F.coalesce("headers", F.lit(0))
+    j = w.join(h, "file", "left").withColumn("structurally_valid", F.coalesce((F.col("_d") == F.col("headers")) & (F.col("min_width") == F.col("headers")) & (F.col("max_width") == F.col("headers")), F.lit(False)))
+    confidence = F.when(headers < 2, 0.0).when(F.col("structurally_valid"), 0.8).otherwise(0.5)
+    return j.select("file", headers.alias("headers"), "records", "min_width", "max_width", "structurally_valid", confidence.alias("confidence"))
 
 
 def population_registry(cells: DataFrame) -> DataFrame:

@@ -368,6 +368,24 @@ def profile_table(t):
     return T.profile_table(T.to_cells(t("customer"), "c_custkey", ["c_name", "c_nationkey", "c_mktsegment", "c_custkey"]))
 
 
+@query("""WITH c AS (UNPIVOT (SELECT COLUMNS(*)::VARCHAR FROM customer) ON COLUMNS(*) INTO NAME field VALUE value)
+SELECT field, count(*) AS cells, count(DISTINCT value) AS distinct_values, 0 AS null_cells, count(*) FILTER (trim(value) = '') AS blank_cells, count(*) FILTER (regexp_matches(value, '^[=+@-]')) AS formula_text_cells,
+count(*) FILTER (regexp_matches(value, '^0[0-9]+$')) AS leading_zero_text_cells, count(*) FILTER (value = 'INVALID') AS malformed_cells, count(*) FILTER (value = '0') AS literal_zero_cells,
+count(*) FILTER (trim(value) <> '' AND NOT regexp_matches(value, '^[=+@-]') AND NOT regexp_matches(value, '^0[0-9]+$') AND value NOT IN ('INVALID', '0')) AS text_cells FROM c GROUP BY 1""")
+def profile_fields(t):
+    c = t("customer")
+    return T.profile_fields(T.to_cells(c, "c_custkey", c.columns))
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM (DESCRIBE customer)) SELECT 'customer' AS file, n AS headers, (SELECT count(*) FROM customer) AS records, n AS min_width, n AS max_width, true AS structurally_valid, 0.8::DOUBLE AS confidence FROM n""")
+def table_structure(t):
+    c = t("customer")
+    cell = lambda k, v: F.struct(F.lit(k).alias("col"), v.cast("string").alias("value"))
+    head = c.sparkSession.range(1).select(F.lit(0).cast("long").alias("row"), F.inline(F.array(*(cell(k, F.lit(x)) for k, x in enumerate(c.columns)))))
+    body = c.select((F.col("c_custkey") + 1).alias("row"), F.inline(F.array(*(cell(k, F.col(x)) for k, x in enumerate(c.columns)))))
+    return T.table_structure(head.union(body).withColumn("file", F.lit("customer")))
+
+
 @query("WITH f AS (SELECT p_brand AS tab, p_type AS field, max(p_partkey) + 1 AS records FROM part GROUP BY ALL) SELECT tab, count(*) AS fields, max(records) AS records FROM f GROUP BY 1")
 def population_registry(t):
     return T.population_registry(t("part").select(F.col("p_brand").alias("tab"), F.col("p_type").alias("field"), F.col("p_partkey").alias("row_idx")))

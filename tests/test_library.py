@@ -122,6 +122,15 @@ def test_groups_and_sets_are_not_collected(spark):
         assert "collect_" not in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_table_structure_and_exact_distinct_values(spark):
+    files = {"ok": ["ab", "xy", "zz"], "twice": ["aa", "xy"], "ragged": ["ab", "x"], "one": ["a", "x"]}
+    cells = [(f, r, c, v) for f, rows in files.items() for r, row in enumerate(rows) for c, v in enumerate(row)] + [("bare", 1, 0, "x")]
+    got = {r.file: tuple(r)[1:] for r in T.table_structure(spark.createDataFrame(cells, "file string, row int, col int, value string")).collect()}
+    assert got == {"ok": (2, 2, 2, 2, True, 0.8), "twice": (2, 1, 2, 2, False, 0.5), "ragged": (2, 1, 1, 2, False, 0.5), "one": (1, 1, 1, 1, True, 0.0), "bare": (0, 1, 1, 1, False, 0.0)}
+    f = T.profile_fields(spark.createDataFrame([(1, "f", "a"), (2, "f", "a"), (3, "f", None), (4, "f", "0")], "row int, field string, value string")).first()
+    assert (f.cells, f.distinct_values, f.null_cells, f.literal_zero_cells) == (4, 2, 1, 1)
+
+
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_equals_its_oracle(spark, name):
     got = catalog.QUERIES[name](spark, SF).toPandas()
