@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from .common import text_slices, written
 from .textwords import mix
 
-LONGEST_PIECE, LONGEST_WORD = 6, 32
+#: LONGEST_PIECE is that of the public vocabulary: no piece of letters is left out.
+LONGEST_PIECE, LONGEST_WORD = 16, 32
 FLOOR = 1e-7
 _ALPHA: list[np.ndarray] = []
 _P = np.uint64(0xD1342543DE82EF95)
@@ -30,13 +31,16 @@ def _letters() -> np.ndarray:
 
 
 def vocabulary(model: str = "piece_bpe_32k.model") -> list[str]:
-    """Pieces of letters only, without word marks, lower-cased, of 1 to LONGEST_PIECE characters, sorted."""
+    """Pieces of letters only, without word marks, lower-cased, sorted; a longer one than LONGEST_PIECE is refused."""
     import public_tokenizers
     from sentencepiece import SentencePieceProcessor
 
     sp = SentencePieceProcessor(model_file=public_tokenizers.path(model))
     pieces = {sp.id_to_piece(i).lstrip("▁").lower() for i in range(sp.get_piece_size())}
-    return sorted(p for p in pieces if 1 <= len(p) <= LONGEST_PIECE and p.isalpha())
+    pieces = sorted(p for p in pieces if p.isalpha())
+    if max(map(len, pieces), default=0) > LONGEST_PIECE:
+        raise ValueError("a piece of the vocabulary is longer than LONGEST_PIECE")
+    return pieces
 
 
 def _codes(s: str) -> np.ndarray:

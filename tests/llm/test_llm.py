@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,6 +169,17 @@ def test_mix(real, docs):
     assert mixing.mixed(real).count() == sum(r.copies for r in mixing.mix(real).collect())
 
 
+def test_language_takes_the_whole_vocabulary():
+    pieces = langid.vocabulary()
+    assert len(pieces) == 20231 and max(map(len, pieces)) == langid.LONGEST_PIECE == 16
+    word = next(p for p in pieces if len(p) == 16)
+    prob = np.zeros((len(pieces) + 1, 1))
+    prob[pieces.index(word)] = 0.5
+    model = langid.UnigramModel(pieces, ["x"], prob)
+    words, lengths, _, _ = langid.cut_words(pa.array([word]))
+    assert abs(model.word_scores(words, lengths)[0, 0] - np.log(0.5)) < 1e-6
+
+
 def test_language(spark, real, docs):
     model = langid.train(real.filter(~langid.held_out(F.col("doc_id"))), rounds=2)
     got = langid.predict(real, model).join(real.select("doc_id", "lang"), "doc_id").filter(langid.held_out(F.col("doc_id"))).collect()
