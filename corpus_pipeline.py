@@ -22,9 +22,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies (five-word shingles, similarity of 0.8 or more)."""
-    kept = minhash.near_duplicates(docs, width=5, percent=80).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Keeps one document of each group of near copies (five-word shingles, similarity of 0.8 or more): the smallest
+    doc_id. Repeated rows and those with a null doc_id are taken as ``minhash.deduplicated`` says."""
+    return minhash.deduplicated(docs, width=5, percent=80)
 
 
 def decontam_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,9 +13,12 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one is made only where that setting is absent (tests)."""
+    """The folder of ``spark.checkpoint.dir``. Where that is not set, a temporary one in local mode; on a cluster, whose
+    machines share no such folder, an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         app = spark.sparkContext.applicationId
         found = _OWN.setdefault(app, "file://" + tempfile.mkdtemp(prefix="spark-"))
     return found.rstrip("/")

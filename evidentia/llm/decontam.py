@@ -1,23 +1,27 @@
-"""Benchmark decontamination with a generalised suffix automaton of the normalised items.
+"""Benchmark decontamination with generalised suffix automata of the normalised items.
 
-The automaton is over word numbers of the item vocabulary. Each text's words are looked up in it in
+An automaton is over word numbers of its items' vocabulary. Each text's words are looked up in it in
 numpy; only runs of known words long enough to hold a window are streamed through the automaton, which
 gives at every word the longest suffix that is a piece of some item. That answers which words lie in an
-occurring window, and which items hold it. Items are dealt into automata of at most ``max_words`` words,
-so what goes to a task is bounded; more items mean more passes, not a larger table.
+occurring window, and which items hold it. Items are dealt by a hash into groups of about ``max_words`` words;
+Spark tasks build one automaton a group and write it. One group, the usual case, is broadcast and the texts pass it
+once. More groups take one broadcast and one pass each, and only what they hit is brought together by row; so
+neither the driver nor a task ever holds more than one automaton.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import drop_written, text_slices, written
 from .textwords import ALNUM, Words, hash_words
 
 
@@ -100,31 +104,37 @@ class SuffixAutomaton:
                     yield i, w, items
 
 
-def build_automata(items: DataFrame, window: int, max_words: int) -> list:
-    """items(item_id, text) -> [(sorted vocabulary hashes, word numbers, automaton)], each of at most
-    ``max_words`` words unless one item alone has more. The items pass through in a stream of rows."""
-    out, now, used, seen = [], None, 0, {}
-
-    def close():
-        if now is not None:
-            now.finish()
-            h = hash_words(list(seen))
-            order = np.argsort(h)
-            out.append((h[order], np.arange(len(h))[order], now))
-
-    for row in items.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("item_id is not null").orderBy("item_id", "text").toLocalIterator():
-        raw = (row.text or "").encode()
-        w = Words(pa.array([row.text or ""], pa.large_string()), ALNUM, hashes=False)
-        words = [raw[a:b].decode().translate(_ASCII_LOWER) for a, b in zip(w.start, w.end, strict=True)]
-        if not words:
-            continue
-        if now is None or used + len(words) > max_words:
-            close()
-            now, used, seen = SuffixAutomaton(window), 0, {}
-        now.add(row.item_id, [seen.setdefault(x, len(seen)) for x in words])
-        used += len(words)
-    close()
-    return out
+def _one_automaton(window: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        machine, seen = SuffixAutomaton(window), {}
+        for name, text in pdf.sort_values(["item_id", "text"]).loc[:, ["item_id", "text"]].itertuples(index=False):
+            raw = text.encode()
+            w = Words(pa.array([text], pa.large_string()), ALNUM, hashes=False)
+            words = [raw[a:b].decode().translate(_ASCII_LOWER) for a, b in zip(w.start, w.end, strict=True)]
+            if words:
+                machine.add(name, [seen.setdefault(x, len(seen)) for x in words])
+        machine.finish()
+        h = hash_words(list(seen))
+        order = np.argsort(h)
+        return pd.DataFrame({"grp": pdf.grp.iloc[:1], "automaton": [pickle.dumps((h[order], np.arange(len(h))[order], machine))]})
+
+    return run
+
+
+def build_automata(items: DataFrame, window: int, max_words: int) -> tuple[DataFrame, int]:
+    """items(item_id, text) -> a written table (grp, automaton), and the number of groups. An automaton is pickled as
+    (sorted vocabulary hashes, word numbers, machine)."""
+    t = items.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter("item_id is not null")
+    words = t.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")))).first()[0] or 0
+    groups = max(1, -(-words // max_words))
+    built = t.withColumn("grp", F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)).cast("int")).groupBy("grp").applyInPandas(_one_automaton(window), "grp int, automaton binary")
+    return written(built, "automata"), groups
+
+
+def _shared(table: DataFrame, grp: int):
+    """The automaton of one group as a broadcast list; empty where the group has no item."""
+    row = table.filter(F.col("grp") == grp).select("automaton").first()
+    return table.sparkSession.sparkContext.broadcast([pickle.loads(row.automaton)] if row else [])
 
 
 _ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
@@ -171,36 +181,98 @@ def _scan(automata):
     return run
 
 
-def scan(docs: DataFrame, items: DataFrame, window: int = 10, max_words: int = 500_000) -> DataFrame:
+def _found(automata):
+    """(rid, spans, items) of the texts that are hit; spans are word numbers, first and one past the last in turn."""
+
+    def run(batches):
+        for batch in batches:
+            for lo, texts in text_slices(batch, "text"):
+                w, hit, found = scan_texts(texts, automata.value)
+                docs = np.unique(w.doc[hit])
+                begin = np.searchsorted(w.doc, docs)
+                end = np.searchsorted(w.doc, docs, side="right")
+                spans = [np.flatnonzero(np.diff(np.concatenate([[0], hit[a:b].astype(np.int8), [0]]))).tolist() for a, b in zip(begin, end, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("rid").slice(lo, len(texts)).take(pa.array(docs)), pa.array(spans, pa.list_(pa.int32())), pa.array([sorted(found[d]) for d in docs], pa.list_(pa.string()))], ["rid", "spans", "items"])
+
+    return run
+
+
+def _join_spans(parts) -> list[int]:
+    """Spans of several groups as one ascending list without overlaps."""
+    out: list[int] = []
+    for a, b in sorted((p[k], p[k + 1]) for p in parts for k in range(0, len(p), 2)):
+        if out and a <= out[-1]:
+            out[-1] = max(out[-1], b)
+        else:
+            out += [a, b]
+    return out
+
+
+def _all_found(rows: DataFrame, table: DataFrame, groups: int) -> DataFrame:
+    """rows(rid, text) -> (rid, spans, items) over all groups, one pass each; a row has at most one part a group."""
+    parts = None
+    for g in range(groups):
+        part = written(rows.mapInArrow(_found(_shared(table, g)), "rid long, spans array<int>, items array<string>"), "found")
+        parts = part if parts is None else parts.union(part)
+
+    def join(batches):
+        for batch in batches:
+            spans = [_join_spans(x) for x in batch.column("s").to_pylist()]
+            items = [sorted(set().union(*x)) for x in batch.column("i").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], ["rid", "spans", "items"])
+
+    return parts.groupBy("rid").agg(F.collect_list("spans").alias("s"), F.collect_list("items").alias("i")).mapInArrow(join, "rid long, spans array<int>, items array<string>")
+
+
+def _count(batches):
+    for batch in batches:
+        for lo, texts in text_slices(batch, "text"):
+            n = Words(texts, ALNUM, hashes=False).counts().astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, len(n)) for c in ("rid", "doc_id")), pa.array(n)], ["rid", "doc_id", "n_words"])
+
+
+def scan(docs: DataFrame, items: DataFrame, window: int = 10, max_words: int = 200_000) -> DataFrame:
     """docs(doc_id, text), items(item_id, text) -> (doc_id, n_words, n_hit, n_items, items_sha256,
     contaminated), one row per input row. A null text has no words; items without words or with a null id
-    never match; items of equal text are all named. No items: nothing is hit. With items beyond
-    ``max_words`` words every text passes through several automata in turn within its task."""
-    automata = docs.sparkSession.sparkContext.broadcast(build_automata(items, window, max_words))
-    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_scan(automata), schema)
+    never match; items of equal text are all named. No items: nothing is hit."""
+    table, groups = build_automata(items, window, max_words)
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if groups == 1:
+        return d.mapInArrow(_scan(_shared(table, 0)), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    rows = written(d.withColumn("rid", F.monotonically_increasing_id()), "rows")
+    found = _all_found(rows.select("rid", "text"), table, groups)
+    width = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: x - a)  # the last less the one before, and so on
+    found = found.select("rid", width.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    out = rows.mapInArrow(_count, "rid long, doc_id long, n_words long").join(found, "rid", "left")
+    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+def _without(text: str, spans: list[int], max_span: int, max_coverage: float) -> str | None:
+    """The text without those spans of words; None where one is longer than ``max_span`` words or they are more than
+    ``max_coverage`` of all."""
+    w = Words(pa.array([text], pa.large_string()), ALNUM, hashes=False)
+    size = [b - a for a, b in zip(spans[::2], spans[1::2], strict=True)]
+    if max(size) > max_span or sum(size) > max_coverage * len(w.start):
+        return None
+    raw, keep, last = text.encode(), [], 0
+    for a, b in zip(spans[::2], spans[1::2], strict=True):
+        keep.append(raw[last : w.start[a]])
+        last = w.end[b - 1]
+    return b"".join([*keep, raw[last:]]).decode()
 
 
 def _clean(automata, max_span: int, max_coverage: float):
-    def one(text: str):
-        """The text without its hit spans; None where too much of it is hit."""
-        first = True
-        while True:
-            w, hit, _ = scan_texts(pa.array([text], pa.large_string()), automata.value)
+    def one(text: str | None):
+        """The text without its hit spans, until none is left; None where too much of it is hit at first."""
+        limits = (max_span, max_coverage)
+        while text is not None:
+            _, hit, _ = scan_texts(pa.array([text], pa.large_string()), automata.value)
             if not hit.any():
-                return text
-            if first:
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-                spans = edge[1::2] - edge[::2]
-                if spans.max() > max_span or hit.sum() > max_coverage * len(hit):
-                    return None
-                first = False
-            raw, keep, last = text.encode(), [], 0
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-            for a, b in zip(edge[::2], edge[1::2], strict=True):
-                keep.append(raw[last : w.start[a]])
-                last = w.end[b - 1]
-            text = b"".join([*keep, raw[last:]]).decode()
+                break
+            text = _without(text, np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))).tolist(), *limits)
+            limits = (len(hit), 1.0)
+        return text
 
     def run(batches):
         for batch in batches:
@@ -217,19 +289,43 @@ def _clean(automata, max_span: int, max_coverage: float):
                 new = pa.array([bad[i] for i in at.tolist()], field.type)
                 keep = ~changed
                 keep[at] = new.is_valid()
-                batch = batch.set_column(k, field, pc.replace_with_mask(batch.column(k), pa.array(changed), new)).filter(pa.array(keep))
+                batch = batch.set_column(k, field, pc.replace_with_mask(batch.column(k), pa.array(changed), new))
+                c = batch.schema.get_field_index("n_chars")
+                if c >= 0:
+                    size = pc.utf8_length(new).cast(batch.schema.field(c).type)
+                    batch = batch.set_column(c, batch.schema.field(c), pc.replace_with_mask(batch.column(c), pa.array(changed), size))
+                batch = batch.filter(pa.array(keep))
             yield batch
 
     return run
 
 
-def remove_contamination(docs: DataFrame, items: DataFrame, window: int = 10, max_span: int = 200, max_coverage: float = 0.5, max_words: int = 500_000) -> DataFrame:
+def remove_contamination(docs: DataFrame, items: DataFrame, window: int = 10, max_span: int = 200, max_coverage: float = 0.5, max_words: int = 200_000) -> DataFrame:
     """``docs`` with every span of words inside an occurring window cut out, whatever its length, so that
     none occurs in what is left. Documents go where a span is longer than ``max_span`` words or hit words
     are more than ``max_coverage`` of the words. Other rows and columns come out unchanged (null texts
-    too); ``n_chars``, where there, is made the new length of a changed text."""
-    automata = docs.sparkSession.sparkContext.broadcast(build_automata(items, window, max_words))
-    out = docs.mapInArrow(_clean(automata, max_span, max_coverage), docs.schema)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.coalesce(F.length("text"), "n_chars").cast(docs.schema["n_chars"].dataType))
-    return out
+    too); ``n_chars``, where there, is made the new length of a changed text. Columns may have any names."""
+    table, groups = build_automata(items, window, max_words)
+    if groups == 1:
+        return docs.mapInArrow(_clean(_shared(table, 0), max_span, max_coverage), docs.schema)
+    rows = written(docs.select(F.monotonically_increasing_id().alias("rid"), F.col("text").cast("string").alias("text"), F.lit(False).alias("cut"), F.struct(*docs.columns).alias("row")), "rows")
+    done, limits = None, (max_span, max_coverage)
+    while True:  # a cut may bring words together: what was cut is looked at again, until nothing is hit
+        found = written(_all_found(rows.select("rid", "text"), table, groups), "hits")
+        clean = rows.join(found, "rid", "left_anti")
+        done = clean if done is None else done.unionByName(clean)
+        hit = rows.join(found.select("rid", "spans"), "rid")
+
+        def cut(batches, limits=limits):
+            for batch in batches:
+                new = [_without(t, s, *limits) for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(new, pa.string()), pa.array([True] * len(new)), batch.column("row")], ["rid", "text", "cut", "row"])
+
+        rows = written(hit.mapInArrow(cut, rows.schema).filter("text is not null"), "cut")
+        drop_written(found)
+        limits = (1 << 62, 1.0)
+        if rows.isEmpty():
+            break
+    new = {"text": F.col("text"), "n_chars": F.length("text")}
+    kind = {f.name: f.dataType for f in docs.schema}
+    return done.select(*(F.when(F.col("cut"), new[c].cast(kind[c])).otherwise(F.col(f"row.`{c}`")).alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns))

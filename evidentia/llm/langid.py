@@ -4,7 +4,8 @@ A word's probability in a language is the sum, over every way to cut it into pie
 vocabulary, of the product of the pieces' probabilities (a forward algorithm). Piece probabilities are
 learned per language by expectation maximisation (forward-backward) over the counted words of a bounded
 sample; each round is a Spark job, and only expected counts by (language, piece) reach the driver. A text's
-score sums its words. Distinct words of a slice of texts are scored once, all lengths together in numpy.
+score sums its words. Distinct words of a slice of texts are scored once, all lengths together in numpy; runs of
+letters of any length are summed whole.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 from .common import text_slices, written
 from .textwords import mix
 
-#: LONGEST_PIECE is that of the public vocabulary: no piece of letters is left out.
+#: LONGEST_PIECE is that of the public vocabulary: no piece of letters is left out. Words of at most LONGEST_WORD
+#: letters are scored as rows of one matrix, longer ones letter by letter.
 LONGEST_PIECE, LONGEST_WORD = 16, 32
 FLOOR = 1e-7
 _ALPHA: list[np.ndarray] = []
@@ -109,9 +111,42 @@ def forward(pieces: np.ndarray, lengths: np.ndarray, prob: np.ndarray, keep: boo
     return np.log(np.maximum(alpha[lengths, np.arange(n)], 1e-300))
 
 
-def cut_words(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased runs of letters, cut every LONGEST_WORD characters: distinct words [m, LONGEST_WORD], their
-    lengths, and for each occurrence (document, number of its word)."""
+def forward_long(words: list[np.ndarray], table: PieceTable, prob: np.ndarray) -> np.ndarray:
+    """log P of words of any length [n, languages]: all step from letter to letter together, the last LONGEST_PIECE
+    prefixes of each are kept, scaled so that they neither vanish nor overflow."""
+    order = np.argsort([-len(w) for w in words], kind="stable")
+    size = np.array([len(words[k]) for k in order])
+    first = np.cumsum(size) - size
+    c = np.concatenate([words[k] for k in order]).astype(np.uint64)
+    at = np.arange(len(c)) - np.repeat(first, size)
+    pieces = np.full((len(c), LONGEST_PIECE), table.n, np.int32)
+    h = np.zeros(len(c), np.uint64)
+    for k in range(LONGEST_PIECE):
+        # h[e]: hash of the k+1 letters that end at e, made from the k letters that begin one earlier
+        h = h + (c[np.maximum(np.arange(len(c)) - k, 0)] + np.uint64(1)) * np.uint64(pow(int(_P), k, 1 << 64))
+        ok = at >= k
+        pieces[ok, k] = table.find(h[ok])
+    n, langs = len(size), prob.shape[1]
+    alpha, scale = np.zeros((n, LONGEST_PIECE, langs)), np.zeros((n, langs))
+    alpha[:, 0] = 1
+    live = np.searchsorted(-size, -np.arange(size[0]), side="left")  # words longer than j come first
+    for j in range(size[0]):
+        m = live[j]
+        p = prob[pieces[first[:m] + j]]
+        p[:, 0] = np.maximum(p[:, 0], FLOOR)
+        new = (alpha[:m] * p).sum(1)
+        scale[:m] += np.log(new)
+        alpha[:m, 1:] = alpha[:m, :-1] / new[:, None]
+        alpha[:m, 0] = 1
+    out = np.empty_like(scale)
+    out[order] = scale
+    return out
+
+
+def cut_words(texts, longer: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased runs of letters: distinct words of at most LONGEST_WORD letters [m, LONGEST_WORD], their lengths, and
+    for each occurrence its document and the number of its word. Longer words, numbered from m on, go to ``longer``."""
+    longer = [] if longer is None else longer
     low = [x.lower() for x in texts.to_pylist()]
     size = np.array([len(x) for x in low], np.int64)
     c = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -124,13 +159,13 @@ def cut_words(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     nxt = np.append(mask[1:], False)
     nxt[:-1] &= ~first[1:]
     end = np.flatnonzero(mask & ~nxt) + 1
+    doc = np.searchsorted(off, start, side="right") - 1
     long = end - start > LONGEST_WORD
-    if long.any():
-        more = [np.arange(a, b, LONGEST_WORD) for a, b in zip(start[long], end[long], strict=True)]
-        ends = [np.minimum(m + LONGEST_WORD, b) for m, b in zip(more, end[long], strict=True)]
-        start, end = np.concatenate([start[~long], *more]), np.concatenate([end[~long], *ends])
+    spans = zip(start[long].tolist(), end[long].tolist(), strict=True)
+    long_doc = doc[long]
+    longer += [c[a:b] for a, b in spans]
+    start, end, doc = start[~long], end[~long], doc[~long]
     length = end - start
-    doc = np.searchsorted(off, start, side="right") - 1
     h = np.zeros(len(start), np.uint64)
     for k in range(int(length.max(initial=0))):
         on = length > k
@@ -138,7 +173,7 @@ def cut_words(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     _, one, word = np.unique(h, return_index=True, return_inverse=True)
     at = start[one][:, None] + np.arange(LONGEST_WORD)
     words = np.where(np.arange(LONGEST_WORD) < length[one][:, None], c[np.minimum(at, max(0, len(c) - 1))] if len(c) else 0, 0)
-    return words, length[one], doc, word
+    return words, length[one], np.concatenate([doc, long_doc]), np.concatenate([word, len(one) + np.arange(len(longer))])
 
 
 class UnigramModel:
@@ -164,12 +199,16 @@ class UnigramModel:
         return out
 
     def predict(self, texts) -> tuple[list[str], np.ndarray]:
-        words, lengths, doc, word = cut_words(texts)
+        longer: list[np.ndarray] = []
+        words, lengths, doc, word = cut_words(texts, longer)
         n = len(texts)
         seen = np.bincount(doc, minlength=n)
         if not self.langs:
             return ["und"] * n, np.zeros(n)
-        each = self.word_scores(words, lengths)[word]
+        scores = self.word_scores(words, lengths)
+        if longer:
+            scores = np.concatenate([scores, forward_long(longer, self.table, self.prob)])
+        each = scores[word]
         total = np.stack([np.bincount(doc, weights=each[:, k], minlength=n) for k in range(len(self.langs))], axis=1)
         best = total.argmax(1)
         # posterior of the best language for a text of the same mean word score and at most 20 words
@@ -215,10 +254,10 @@ def _expect(model):
     return run
 
 
-def train(labelled: DataFrame, per_language: int = 400, rounds: int = 3, max_words: int = 400_000, smooth: float = 0.05, seed: int = 1) -> UnigramModel:
+def train(labelled: DataFrame, per_language: int = 400, rounds: int = 3, smooth: float = 0.05, seed: int = 1) -> UnigramModel:
     """labelled(doc_id, text, lang) -> model. Of each language, about ``per_language`` rows drawn by a hash of
-    doc_id (all, where there are fewer) are counted; of their distinct words the ``max_words`` most frequent
-    are used. Null langs and texts teach nothing; without any row the model knows no language."""
+    doc_id (all, where there are fewer) are counted, with all their words; runs of more than LONGEST_WORD letters
+    teach in parts of that length. Null langs and texts teach nothing; without any row the model knows no language."""
     spark = labelled.sparkSession
     rows = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("lang is not null and text is not null")
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
@@ -234,7 +273,7 @@ def train(labelled: DataFrame, per_language: int = 400, rounds: int = 3, max_wor
     number = F.array_position(F.array(*(F.lit(x) for x in langs)), F.col("lang")).cast("int") - 1
     runs = F.expr(f"regexp_extract_all(lower(text), '\\\\p{{L}}{{1,{LONGEST_WORD}}}', 0)")
     words = rows.filter(u < share).select(number.alias("lang"), F.explode(runs).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    words = written(words.orderBy(F.desc("n"), "lang", "word").limit(max_words), "words").repartition(spark.sparkContext.defaultParallelism)
+    words = written(words.repartition(spark.sparkContext.defaultParallelism), "words")
     model = UnigramModel(pieces, langs, uniform)
     for _ in range(rounds):
         got = words.mapInArrow(_expect(spark.sparkContext.broadcast(model)), "lang int, piece int, x double").groupBy("lang", "piece").agg(F.sum("x").alias("x")).toPandas()

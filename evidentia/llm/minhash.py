@@ -83,7 +83,7 @@ def _signatures(width: int, perms: int, rows: int, seed: int):
                 if len(has):
                     for j in range(perms):
                         minima[has, j] = np.minimum.reduceat((full * mult[j]) >> np.uint64(32), at)
-                    sums = [np.add.reduceat(mix(h + np.uint64(c)), at) for c in (1, 2)]
+                    sums = _set_hashes(h, at)
                 set_hash = np.zeros((2, n), np.uint64)
                 if len(has):
                     set_hash[:, has] = sums
@@ -102,13 +102,28 @@ def _signatures(width: int, perms: int, rows: int, seed: int):
     return run
 
 
+def _set_hashes(h: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """128 bits of each set: two sums of mixed shingles, which no order changes."""
+    return [np.add.reduceat(mix(h + np.uint64(c)), at) for c in (1, 2)]
+
+
 def _sets(width: int):
+    """Sets of the texts whose set hash is the wanted one: of a repeated doc_id only those that stand for it."""
+
     def run(batches):
         for batch in batches:
             for lo, texts in text_slices(batch, "text"):
                 doc, h = shingle_keys(texts, width)
-                at = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(texts)))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, len(texts)), pa.ListArray.from_arrays(at, pa.array(h.view(np.int64)))], ["doc_id", "shingles"])
+                n = len(texts)
+                size = np.bincount(doc, minlength=n)
+                has = np.flatnonzero(size)
+                upto = np.concatenate([[0], np.cumsum(size)])
+                own = np.zeros((2, n), np.uint64)
+                if len(has):
+                    own[:, has] = _set_hashes(h, upto[has])
+                fit = [own[k].view(np.int64) == batch.column(c).slice(lo, n).to_numpy() for k, c in enumerate(("h1", "h2"))]
+                lists = pa.ListArray.from_arrays(upto.astype(np.int32), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, n), lists], ["doc_id", "shingles"]).filter(pa.array(fit[0] & fit[1]))
 
     return run
 
@@ -184,15 +199,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, perms: i
     100 * |intersection| >= percent * |union|; component_id is the smallest doc_id reachable and kept
     marks that document. Null or wordless texts have an empty set and link with nothing (component_id =
     doc_id). Rows with a null doc_id keep a null component and kept = false; repeated rows of one doc_id
-    come out once each, with equal results. Other columns of ``docs`` are not read.
+    come out once each, in one component: where their texts differ, the one of the smallest set hash is
+    compared for all of them. Other columns of ``docs`` are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     least = max(0.0, percent / 100 - 5 / (1 - 2.0**-BITS) * ((percent / 100) * (1 - percent / 100) / perms) ** 0.5)
     sigs = written(docs.mapInArrow(_signatures(width, perms, rows, seed), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sig array<long>"), "sigs")
     full = sigs.filter("n_shingles > 0 and doc_id is not null")
     reps = full.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    lead = full.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    lead = written(lead.select(F.col("doc_id").alias("id"), "n_shingles", "sig", "bands"), "leaders")
+    lead = full.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    lead = lead.groupBy(F.col("doc_id").alias("id")).agg(F.min(F.struct("h1", "h2", "n_shingles", "sig", "bands")).alias("s"))
+    lead = written(lead.select("id", "s.*"), "leaders")
     rows_ = lead.select(F.explode("bands").alias("key"), "id")
     buckets = rows_.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1")
     buckets = written(buckets, "buckets")
@@ -201,8 +218,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, perms: i
     star = rows_.join(buckets.select("key", "first"), "key").filter("id > first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     star = written(star, "pairs")
     # the full sets of all that shares a bucket
-    need = star.select(F.col("a").alias("doc_id")).union(star.select(F.col("b").alias("doc_id"))).distinct().hint("merge")  # one plan at every size
-    sets = written(docs.join(need, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(width), "doc_id long, shingles array<long>"), "sets")
+    need = star.select(F.col("a").alias("id")).union(star.select(F.col("b").alias("id"))).distinct().join(lead.select("id", "h1", "h2"), "id")
+    need = need.select(F.col("id").alias("doc_id"), "h1", "h2").hint("merge")  # one plan at every size
+    texts = docs.withColumn("t", F.xxhash64("text")).join(need, "doc_id").dropDuplicates(["doc_id", "t"]).drop("t")
+    sets = written(texts.mapInArrow(_sets(width), "doc_id long, shingles array<long>"), "sets")
     side = lambda x: sig.select(F.col("id").alias(x), F.col("sig").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}"))
     good = star.join(side("a"), "a").join(side("b"), "b").filter((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (_estimate(F.col("sa"), F.col("sb"), perms) >= least)).select("a", "b")
     both = good.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
@@ -212,7 +231,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, perms: i
 
     # buckets of three and more that still hold several components, chained to families
     named = rows_.join(buckets.filter("n > 2").select("key", "first"), "key").join(comp, "id", "left").select("key", "first", "id", F.coalesce("component", "id").alias("comp"))
-    named = written(named, "members")
+    named = members = written(named, "members")
     mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
     named = named.join(mixed, "key")
     family = connected_components(named.select(F.col("first").alias("a"), F.col("id").alias("b"))).withColumnRenamed("component", "family")
@@ -226,11 +245,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, perms: i
     base = part.select("family", "id", "comp", "sig", "shingles", F.lit(False).alias("asks"), (spread % F.col("nb")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("j"))
     asks = part.filter("comp != big").select("family", "id", "comp", "sig", "shingles", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("i"), (spread % F.col("nq")).alias("j"))
     more = base.unionByName(asks).groupBy("family", "i", "j").applyInPandas(_cross_links(perms, least, percent), "a long, b long")
+    more = written(more, "more")
     comp = connected_components(links.union(more))
-    for table in (star, sets, part, named):
+    for table in (star, sets, part, named, members, lead, buckets, links, more):
         drop_written(table)
     classes = reps.join(comp, reps.rep == comp.id, "left").select("h1", "h2", F.col("n_shingles").alias("n"), F.coalesce("component", "rep").alias("component"))
     s = sigs.select("doc_id", "n_shingles", "h1", "h2")
     out = s.join(classes, (s.h1 == classes.h1) & (s.h2 == classes.h2) & (s.n_shingles == classes.n), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each group of near copies: the smallest doc_id. Rows with a null doc_id are documents
+    too: they go by a number made of their text, after all others, so that equal ones are one. Of rows that repeat a
+    doc_id the one of the smallest hash of its text stays. Texts without a word stay, once for each doc_id. Columns may
+    have any names."""
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)).alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*docs.columns).alias("row"))
+    kept = near_duplicates(rows.select("doc_id", "text"), width=width, percent=percent).filter("kept").groupBy("doc_id").agg(F.count("*").alias("n"))
+    kept = written(kept, "kept")
+    once = rows.join(kept.filter("n = 1").select("doc_id"), "doc_id", "left_semi").select("row")
+    again = rows.join(kept.filter("n > 1"), "doc_id").groupBy("doc_id").agg(F.min_by("row", F.struct(F.xxhash64("text"), F.xxhash64("row"))).alias("row")).select("row")
+    return once.unionByName(again).select("row.*")

@@ -10,7 +10,7 @@ in small hash buckets, so that a length shared by very many documents spreads ov
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -80,44 +80,66 @@ def _quota(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(copies=whole, extra=[took.get(s, 0) for s in pdf["size"]])[["source", "size", "n", "copies", "extra"]]
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 11, bucket: int = 512) -> DataFrame:
-    """docs(doc_id, text, source) -> (doc_id, size, source_size, target, taken, copies), one row per input
-    row. size counts runs of non-whitespace (null: 0); a document is taken 0, 1 or 2 times whole, taken is
-    that many times its size. Documents without words are never taken. Null is a source of its own; repeated
-    rows are documents of their own and ties of the seeded hash break by doc_id. Reruns agree.
-    ``most`` is at most 2."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    d = written(d, "sizes")
-    hist = d.groupBy("source", "size").agg(F.count("*").alias("n"))
-    hist = written(hist, "lengths")
+def chosen(docs: DataFrame, weights: tuple[float, ...], share: float, most: int, seed: int, bucket: int) -> DataFrame:
+    """docs(doc_id, source, size, h) -> one row per distinct (doc_id, source, size, h): how many rows it stands for
+    (m), and how many of its documents are taken in all (total), with source_size and target. Equal rows are counted
+    before anything is ordered, so that very many of them are one row here."""
+    if most not in (1, 2):
+        raise ValueError("most is 1 or 2")
+    d = written(docs.groupBy("doc_id", "source", "size", "h").agg(F.count("*").alias("m")), "sizes")
+    hist = written(d.groupBy("source", "size").agg(F.sum("m").alias("n")), "lengths")
     per = targets(hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, most)
     p = per.select(F.col("source").alias("ps"), "source_size", "target")
     quota = hist.join(p, F.col("source").eqNullSafe(F.col("ps"))).drop("ps")
     quota = written(quota.groupBy("source").applyInPandas(_quota, "source string, size long, n long, copies long, extra long"), "quota")
-    # documents of one source and length are ordered by (hash bucket, hash): whole buckets first, then within one
-    r = F.xxhash64("doc_id", F.lit(seed))
-    d = d.withColumn("r", r)
     q = quota.select(F.col("source").alias("qs"), F.col("size").alias("qz"), "n", "copies", "extra")
+    # documents of one source and length are ordered by (hash bucket, hash): whole buckets first, then within one
     placed = d.join(q, F.col("source").eqNullSafe(F.col("qs")) & (F.col("size") == F.col("qz"))).drop("qs", "qz")
+    placed = placed.withColumn("r", F.xxhash64("doc_id", "h", F.lit(seed)))
     placed = placed.withColumn("b", F.pmod(F.shiftright("r", 32), F.ceil(F.col("n") / bucket)))
     some = placed.filter("extra > 0 and extra < n")
-    counts = some.groupBy("source", "size", "b", "extra").agg(F.count("*").alias("m"))
-    before = F.sum("m").over(Window.partitionBy("source", "size").orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
-    cut = counts.withColumn("before", F.coalesce(before, F.lit(0))).select(F.col("source").alias("cs"), F.col("size").alias("cz"), F.col("b").alias("cb"), "before", "m")
+    counts = some.groupBy("source", "size", "b").agg(F.sum("m").alias("here"))
+    before = F.sum("here").over(Window.partitionBy("source", "size").orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
+    cut = counts.withColumn("before", F.coalesce(before, F.lit(0))).select(F.col("source").alias("cs"), F.col("size").alias("cz"), F.col("b").alias("cb"), "before", "here")
     inside = some.join(cut, F.col("source").eqNullSafe(F.col("cs")) & (F.col("size") == F.col("cz")) & (F.col("b") == F.col("cb"))).drop("cs", "cz", "cb")
-    edge = (F.col("before") < F.col("extra")) & (F.col("before") + F.col("m") > F.col("extra"))
-    rank = F.row_number().over(Window.partitionBy("source", "size", "b").orderBy("r", "doc_id"))
-    ranked = inside.filter(edge).withColumn("more", (rank <= F.col("extra") - F.col("before")).cast("long")).select("doc_id", "source", "size", "copies", "more")
-    plain = inside.filter(~edge).select("doc_id", "source", "size", "copies", (F.col("before") + F.col("m") <= F.col("extra")).cast("long").alias("more"))
-    rest = placed.filter("extra <= 0 or extra >= n").select("doc_id", "source", "size", "copies", (F.col("extra") > 0).cast("long").alias("more"))
-    all_ = ranked.unionByName(plain).unionByName(rest)
-    out = all_.join(p, F.col("source").eqNullSafe(F.col("ps")))
-    copies = F.when(F.col("size") > 0, F.col("copies") + F.col("more")).otherwise(0)
-    return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.cast("long").alias("copies"))
-
-
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` as often as :func:`mix` takes them; doc_id tells documents apart."""
-    took = mix(docs, **options).filter("copies > 0").select(F.col("doc_id").alias("_doc_id"), "copies").groupBy("_doc_id").agg(F.max("copies").alias("_copies"))
-    out = docs.join(took, docs.doc_id == took._doc_id)
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    edge = (F.col("before") < F.col("extra")) & (F.col("before") + F.col("here") > F.col("extra"))
+    keep = ("doc_id", "source", "size", "h", "m", "copies", "more")
+    within = F.coalesce(F.sum("m").over(Window.partitionBy("source", "size", "b").orderBy("r", "doc_id", "h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    left = F.col("extra") - F.col("before") - within
+    ranked = inside.filter(edge).withColumn("more", F.greatest(F.lit(0).cast("long"), F.least("m", left))).select(*keep)
+    plain = inside.filter(~edge).withColumn("more", F.when(F.col("before") < F.col("extra"), F.col("m")).otherwise(0)).select(*keep)
+    rest = placed.filter("extra <= 0 or extra >= n").withColumn("more", F.when(F.col("extra") > 0, F.col("m")).otherwise(0)).select(*keep)
+    out = ranked.unionByName(plain).unionByName(rest).join(p, F.col("source").eqNullSafe(F.col("ps"))).drop("ps")
+    total = F.when(F.col("size") > 0, F.col("copies") * F.col("m") + F.col("more")).otherwise(0).cast("long")
+    return out.select("doc_id", "source", "size", "h", "m", total.alias("total"), "source_size", "target")
+
+
+def _measured(docs: DataFrame, *more: Column) -> DataFrame:
+    text = F.col("text").cast("string")
+    size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64(text).alias("h"), *more)
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 11, bucket: int = 512) -> DataFrame:
+    """docs(doc_id, text, source) -> (doc_id, size, source_size, target, taken, copies), one row per input
+    row. size counts runs of non-whitespace (null: 0); a document is taken 0, 1 or 2 times whole, taken is
+    that many times its size. Documents without words are never taken. Null is a source of its own; repeated
+    rows are documents of their own. Reruns agree. ``most`` is 1 or 2. No documents: no rows."""
+    c = chosen(_measured(docs), weights, share, most, seed, bucket)
+    each = c.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))
+    copies = F.floor(F.col("total") / F.col("m")) + (F.col("k") <= F.col("total") % F.col("m")).cast("long")
+    return each.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 11, bucket: int = 512) -> DataFrame:
+    """The rows of ``docs`` as often as :func:`mix` takes them, null doc_ids and sources too. Rows of one doc_id, source
+    and text are one document that is there several times: what :func:`mix` takes of them all comes as copies of the
+    least of these rows. Columns may have any names; those of repeated documents must be of types that can be ordered."""
+    c = chosen(_measured(docs), weights, share, most, seed, bucket).filter("total > 0")
+    took = c.select(*(F.col(x).alias(f"_{x}") for x in ("doc_id", "source", "size", "h", "m", "total")))
+    rows = _measured(docs, F.struct(*docs.columns).alias("row"))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")) & (F.col("h") == F.col("_h"))
+    j = rows.join(took, same).select("doc_id", "source", "h", "row", F.col("_m").alias("m"), F.col("_total").alias("total"))
+    again = j.filter("m > 1").groupBy("doc_id", "source", "h", "total").agg(F.min("row").alias("row"))
+    out = j.filter("m = 1").select("row", "total").unionByName(again.select("row", "total"))
+    return out.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("total")))).select("row.*")

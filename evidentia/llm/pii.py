@@ -20,8 +20,17 @@ CONTEXT_WORDS = {
     "iban": ("iban", "bank", "account", "konto", "compte", "cuenta"),
     "ssn": ("ssn", "social", "security"),
 }
+#: Words that speak against each kind.
+AGAINST = {
+    "email": ("example", "package"),
+    "ip": ("version", "release", "section", "chapter", "build"),
+    "card": ("order", "invoice", "tracking", "isbn", "serial"),
+    "phone": ("order", "invoice", "part", "version", "serial"),
+    "iban": ("order", "invoice", "part", "serial", "model", "version"),
+    "ssn": ("order", "invoice", "part", "serial", "model", "version"),
+}
 #: Score of a kind before its context: the stronger the check, the higher.
-PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.2}
+PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.7, "ssn": 0.3}
 CONTEXT, BONUS, LEAST = 40, 0.3, 0.5
 #: Length of an IBAN by its country.
 IBAN_LENGTH = {
@@ -111,14 +120,15 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def scored_spans(text: str) -> list[tuple[int, int, str, float]]:
-    """Base spans, which always stay, and confirmed ones of further kinds whose score is LEAST at least."""
+    """Base spans, which always stay, and confirmed ones of further kinds whose score is LEAST at least: a kind's prior,
+    raised by words for it nearby and lowered by words against it."""
     spans = [(*s, True) for s in base_spans(text)]
     spans += [(*s, "iban", False) for s in _ibans(text)]
     spans += [(*m.span(), "ssn", False) for m in _SSN.finditer(text)]
     out = []
     for a, b, kind, stays in spans:
         near = {w.lower() for w in _WORD.findall(text[max(0, a - CONTEXT) : a] + " " + text[b : b + CONTEXT])}
-        score = min(1.0, PRIOR[kind] + BONUS * bool(near & set(CONTEXT_WORDS[kind])))
+        score = round(min(1.0, max(0.0, PRIOR[kind] + BONUS * (bool(near & set(CONTEXT_WORDS[kind])) - bool(near & set(AGAINST[kind]))))), 2)
         if stays or score >= LEAST:
             out.append((a, b, kind, score))
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
@@ -126,7 +136,7 @@ def scored_spans(text: str) -> list[tuple[int, int, str, float]]:
 
 def _find(batches):
     for batch in batches:
-        cols: dict[str, list] = {k: [] for k in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "max_score")}
+        cols: dict[str, list] = {k: [] for k in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "scores", "max_score")}
         for x in batch.column("text"):
             found = scored_spans(x.as_py() or "")
             base = [s for s in found if s[2] in BASE_KINDS]
@@ -135,15 +145,17 @@ def _find(batches):
             told = lambda spans: ",".join(f"{k}:{a}:{b}" for a, b, k, _ in spans)
             cols["base_sha256"].append(hashlib.sha256(told(base).encode()).hexdigest())
             cols["spans"].append(told(found))
+            cols["scores"].append(",".join(f"{x[3]:.2f}" for x in found))
             cols["max_score"].append(max((s[3] for s in found), default=None))
-        types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
+        types = [pa.int64()] * 4 + [pa.string()] * 3 + [pa.float64()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, t) for v, t in zip(cols.values(), types, strict=True))], ["doc_id", *cols])
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, max_score), one row
-    per input row. Null is the empty text: no spans, the digest of an empty string, null max_score."""
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, max_score double"
+    """docs(doc_id, text) -> (doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, scores, max_score), one
+    row per input row; scores has a score for each of spans. Null is the empty text: no spans, the digest of an empty
+    string, null max_score."""
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, scores string, max_score double"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_find, schema)
 
 

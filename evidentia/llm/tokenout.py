@@ -43,7 +43,7 @@ class WordEncoder:
     the tokenizers library's model, once each; any other run goes through the whole tokenizer. The ids of all
     occurrences are then gathered in numpy. Tables begin anew beyond ``max_known`` runs, pieces or, tenfold, ids."""
 
-    def __init__(self, path: str, end_id: int, max_known: int = 400_000):
+    def __init__(self, path: str, end_id: int, max_known: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -138,7 +138,7 @@ def _encode(tokenizer: str, end_id: int):
     def run(batches):
         enc, before = _encoder(tokenizer, end_id), 0
         for batch in batches:
-            for lo, texts in text_slices(batch, "text", 4 << 20):
+            for lo, texts in text_slices(batch, "text", 2 << 20):
                 n, ids = enc.encode(texts)
                 upto = np.cumsum(n)
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], upto]).astype(np.int32), pa.array(ids.view(np.int32)))
