@@ -261,9 +261,10 @@ def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     too: they go by a number made of their text, after all others, so that equal ones are one. Of rows that repeat a
     doc_id the one of the smallest hash of its text stays. Texts without a word stay, once for each doc_id. Columns may
     have any names."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)).alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*docs.columns).alias("row"))
-    kept = near_duplicates(rows.select("doc_id", "text"), width=width, percent=percent).filter("kept").groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = written(kept, "kept")
-    once = rows.join(kept.filter("n = 1").select("doc_id"), "doc_id", "left_semi").select("row")
-    again = rows.join(kept.filter("n > 1"), "doc_id").groupBy("doc_id").agg(F.min_by("row", F.struct(F.xxhash64("text"), F.xxhash64("row"))).alias("row")).select("row")
+    ids = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)).alias("doc_id")
+    kept = near_duplicates(docs.select(ids, "text"), width=width, percent=percent).filter("kept").groupBy("doc_id").agg(F.count("*").alias("n"))
+    kept = written(kept, "kept").hint("merge")  # one plan at every size; both joins share one shuffle of the rows
+    rows = docs.select(ids, F.struct(*docs.columns).alias("row"))
+    once = rows.join(kept.filter("n = 1"), "doc_id").select("row")
+    again = rows.join(kept.filter("n > 1"), "doc_id").groupBy("doc_id").agg(F.min_by("row", F.struct(F.xxhash64("row.text"), F.xxhash64("row"))).alias("row")).select("row")
     return once.unionByName(again).select("row.*")
