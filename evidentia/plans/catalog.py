@@ -583,3 +583,6 @@ def dedupe_citations(t):
 @query("SELECT o_custkey AS rule_id, min(o_orderkey) AS position, arg_min(o_orderpriority || '; ' || o_orderstatus, o_orderkey) AS conditions FROM orders GROUP BY 1")
 def distinct_rule_rows(t):
     return V.distinct_rule_rows(t("orders").select(F.col("o_custkey").alias("rule_id"), F.col("o_orderkey").alias("position"), F.array("o_orderpriority", "o_orderstatus").alias("conditions")))
+
+
+from . import casework, values  # noqa: E402, F401
