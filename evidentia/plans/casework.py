@@ -30,14 +30,13 @@ def disallowed_fields(t):
     return W.disallowed_fields(t("customer").select(F.col("c_custkey").alias("record_id"), fields.alias("fields")), ("segment", "balance0", "balance1"))
 
 
-@query("""WITH p AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS a, 'role' || l_suppkey % 4 AS role FROM lineitem), d AS (SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_returnflag = 'A' THEN 'approved' ELSE 'revoked' END AS s FROM lineitem WHERE l_linenumber < 5),
-g AS (SELECT a AS artifact_id, count(DISTINCT CASE WHEN s = 'approved' THEN role END) AS n, min(CASE WHEN s = 'approved' THEN role END) AS r FROM p LEFT JOIN d USING (id) GROUP BY 1)
+@query("""WITH p AS (SELECT o_custkey AS a, CASE WHEN o_orderstatus = 'F' AND o_orderkey % 3 <> 0 THEN 'role' || o_orderkey % 4 END AS r FROM orders), g AS (SELECT a AS artifact_id, count(DISTINCT r) AS n, min(r) AS r FROM p GROUP BY 1)
 SELECT artifact_id, CASE WHEN n = 1 THEN r END AS role, CASE WHEN n = 0 THEN 'NO_APPROVED_ROLE' WHEN n > 1 THEN 'SEVERAL_APPROVED_ROLES' END AS issue FROM g""")
 def approved_source_role(t):
-    l = t("lineitem").withColumn("proposal_id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))  # noqa: E741
-    first = l.select("proposal_id", F.lit(1).alias("position"), F.lit("approved").alias("status"), "l_linenumber")
-    last = l.select("proposal_id", F.lit(2).alias("position"), F.when(F.col("l_returnflag") == "A", "approved").otherwise("revoked").alias("status"), "l_linenumber")
-    return W.approved_source_role(l.select("proposal_id", F.col("l_orderkey").alias("artifact_id"), F.concat(F.lit("role"), (F.col("l_suppkey") % 4).cast("string")).alias("role")), first.union(last).filter("l_linenumber < 5"))
+    k = F.col("o_orderkey")
+    p = t("orders").select(k.alias("proposal_id"), F.col("o_custkey").alias("artifact_id"), F.concat(F.lit("role"), (k % 4).cast("string")).alias("role"))
+    d = t("orders").filter(k % 3 != 0).select(k.alias("proposal_id"), F.explode(F.array(F.struct(F.lit(1).alias("position"), F.lit("approved").alias("status")), F.struct(F.lit(2).alias("position"), F.when(F.col("o_orderstatus") == "F", "approved").otherwise("revoked").alias("status")))).alias("d"))
+    return W.approved_source_role(p, d.select("proposal_id", "d.*"))
 
 
 @query("""WITH p AS (SELECT p_partkey AS id, p_brand, split_part(p_type, ' ', 1) AS d, p_size % 5 AS v FROM part), s AS (SELECT p_brand, d, v, min(id) AS source_id FROM p WHERE id % 2 = 0 GROUP BY ALL)
