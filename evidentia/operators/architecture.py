@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.checks import requires_override, tab_matches
 from ..functions.scalars import cell_coords
 from .rules import match_condition
+from .tables import policy as policy_table
 
 #: Functions a formula may use, those that change by themselves, and those that reach outside.
 FUNCTIONS = ("ABS", "AND", "DATE", "DAY", "DAYS", "IF", "INT", "ISBLANK", "ISLOGICAL", "ISNUMBER", "ISTEXT", "MAX", "MIN", "MOD", "MONTH", "NOT", "OR", "PRODUCT", "ROUND", "ROUNDDOWN", "ROUNDUP", "SIGN", "SUM", "TRUNC", "YEAR")
@@ -185,7 +186,7 @@ def select_tabs(sheets: DataFrame, policy: DataFrame, observed: DataFrame) -> Da
     is a policy table: each pattern is tried on each name."""
     key = F.lower(F.trim(F.regexp_replace("name", r"\s+", " ")))
     same = sheets.groupBy(key.alias("key")).agg(F.count_distinct("content_hash").alias("contents"))
-    m = sheets.join(policy, tab_matches(F.col("name"), F.col("pattern")), "left")
+    m = sheets.join(policy_table(policy), tab_matches(F.col("name"), F.col("pattern")), "left")
     m = m.groupBy("sheet_id", "name", "hidden").agg(F.min_by("role", "pattern").alias("role"), F.min_by("required", "pattern").alias("required"))
     m = m.withColumn("key", key).join(same, "key")
     need = m.select("sheet_id", F.explode("required").alias("field"))

@@ -48,7 +48,8 @@ def near_duplicate_pairs(docs: DataFrame, threshold: float, width: int = 3) -> D
     text = normalize_comparable_text(F.coalesce("text", F.lit("")))
     d = docs.select("artifact_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"), text.alias("t"))
     d = d.groupBy("sha256").agg(F.min("artifact_id").alias("artifact_id"), F.min("t").alias("t"))
-    sets = d.select("artifact_id", token_shingles(F.col("t"), width).alias("s")).withColumn("n", F.size("s"))
+    # shingles go by 64-bit hashes from here on
+    sets = d.select("artifact_id", F.transform(token_shingles(F.col("t"), width), lambda g: F.xxhash64(g)).alias("s")).withColumn("n", F.size("s"))
     flat = sets.filter("n > 0").select("artifact_id", "n", F.explode("s").alias("g"))
     df = flat.groupBy("g").agg(F.count("*").alias("df"))
     rare = flat.join(df, "g").filter("df > 1 or n = 1")
@@ -68,7 +69,7 @@ def near_duplicate_pairs(docs: DataFrame, threshold: float, width: int = 3) -> D
     x = x.filter(F.col("similarity") >= threshold).select("from_id", "to_id", "similarity")
     wordless = sets.filter("n = 0").select("artifact_id", "n")
     first = wordless.groupBy("n").agg(F.min("artifact_id").alias("from_id"))
-    return x.unionByName(wordless.join(F.broadcast(first), "n").filter("from_id < artifact_id").select("from_id", F.col("artifact_id").alias("to_id"), F.lit(1.0).alias("similarity")))
+    return x.unionByName(wordless.join(first, "n").filter("from_id < artifact_id").select("from_id", F.col("artifact_id").alias("to_id"), F.lit(1.0).alias("similarity")))
 
 
 def near_duplicate_members(docs: DataFrame) -> DataFrame:

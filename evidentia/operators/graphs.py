@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         at = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not at and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         sc.setCheckpointDir(at or "file://" + tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
@@ -23,15 +26,15 @@ def _rounds(bound: int):
 
 def reachable(edges: DataFrame, roots: DataFrame, bound: int = 10_000) -> DataFrame:
     """edges(src, dst), roots(id) -> (id, depth): breadth first, each node once at its least depth."""
-    edges = _cut(edges.select("src", "dst").distinct())
-    seen = _cut(roots.select("id").distinct().withColumn("depth", F.lit(0)))
+    edges = cut(edges.select("src", "dst").distinct())
+    seen = cut(roots.select("id").distinct().withColumn("depth", F.lit(0)))
     front = seen
     for k in _rounds(bound):
         nxt = front.join(edges, front.id == edges.src).select(F.col("dst").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(k + 1))
-        front = _cut(nxt)
+        front = cut(nxt)
         if front.isEmpty():
             return seen
-        seen = _cut(seen.union(front)) if k % 5 == 4 else seen.union(front)
+        seen = cut(seen.union(front)) if k % 5 == 4 else seen.union(front)
 
 
 def unreachable_nodes(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
@@ -41,26 +44,26 @@ def unreachable_nodes(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> D
 def execution_order(nodes: DataFrame, edges: DataFrame, bound: int = 10_000) -> DataFrame:
     """nodes(id), edges(src, dst): dst depends on src. -> (id, level): 1 + the longest path before it; null on a cycle
     or after one. (level, id) is a topological order."""
-    left = _cut(nodes.select("id").distinct())
-    edges = _cut(edges.select("src", "dst").distinct())
+    left = cut(nodes.select("id").distinct())
+    edges = cut(edges.select("src", "dst").distinct())
     done = None
     for k in _rounds(bound):
-        free = _cut(left.join(edges.select(F.col("dst").alias("id")), "id", "left_anti").withColumn("level", F.lit(k + 1)))
+        free = cut(left.join(edges.select(F.col("dst").alias("id")), "id", "left_anti").withColumn("level", F.lit(k + 1)))
         if free.isEmpty():
             rest = left.withColumn("level", F.lit(None).cast("int"))
             return rest if done is None else done.union(rest)
         done = free if done is None else done.union(free)
-        left = _cut(left.join(free, "id", "left_anti"))
-        edges = _cut(edges.join(free.select(F.col("id").alias("src")), "src", "left_anti"))
+        left = cut(left.join(free, "id", "left_anti"))
+        edges = cut(edges.join(free.select(F.col("id").alias("src")), "src", "left_anti"))
 
 
 def cycle_members(edges: DataFrame, bound: int = 10_000) -> DataFrame:
     """(id, cycle): nodes on a cycle, named by its smallest member. Sources and sinks are trimmed to a fixed point;
     what is left is closed transitively, which needs cycles and what joins them to be small."""
-    e = _cut(edges.select("src", "dst").distinct())
+    e = cut(edges.select("src", "dst").distinct())
     n = e.count()
     for _ in _rounds(bound):
-        e = _cut(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        e = cut(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
         m = e.count()
         if m == n:
             break
@@ -68,7 +71,7 @@ def cycle_members(edges: DataFrame, bound: int = 10_000) -> DataFrame:
     reach, n = e, e.count()
     for _ in _rounds(bound):
         step = reach.join(reach.select(F.col("src").alias("dst"), F.col("dst").alias("to")), "dst").select("src", F.col("to").alias("dst"))
-        reach = _cut(reach.union(step).distinct())
+        reach = cut(reach.union(step).distinct())
         m = reach.count()
         if m == n:
             break
@@ -81,15 +84,15 @@ def cycle_members(edges: DataFrame, bound: int = 10_000) -> DataFrame:
 def propagate_blocks(edges: DataFrame, failed: DataFrame, bound: int = 10_000) -> DataFrame:
     """edges(src, dst), failed(id) -> (id, causes): nodes that depend on failed ones, and how many root causes each has.
     Failed nodes stop the walk."""
-    edges = _cut(edges.select("src", "dst").distinct().join(failed.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"))
-    front = _cut(failed.select("id", F.col("id").alias("cause")).distinct())
+    edges = cut(edges.select("src", "dst").distinct().join(failed.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"))
+    front = cut(failed.select("id", F.col("id").alias("cause")).distinct())
     seen = front
     for k in _rounds(bound):
         nxt = front.join(edges, front.id == edges.src).select(F.col("dst").alias("id"), "cause").distinct().join(seen, ["id", "cause"], "left_anti")
-        front = _cut(nxt)
+        front = cut(nxt)
         if front.isEmpty():
             break
-        seen = _cut(seen.union(front)) if k % 5 == 4 else seen.union(front)
+        seen = cut(seen.union(front)) if k % 5 == 4 else seen.union(front)
     return seen.filter("id <> cause").groupBy("id").agg(F.count("*").alias("causes"))
 
 

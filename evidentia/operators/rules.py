@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import normalize_ascii_text, token_shingles
+from .tables import policy
 
 
 def rules_effective_on(rules: DataFrame, day: Column) -> DataFrame:
@@ -35,10 +36,15 @@ def chained_periods(rules: DataFrame) -> DataFrame:
 
 
 def effective_rule_asof(rules: DataFrame, queries: DataFrame) -> DataFrame:
-    """queries(query_id, scope, day) -> (query_id, rule_id), null where no rule of the scope holds that day."""
-    c = chained_periods(rules).select("scope", "rule_id", "start_date", "end_date")
-    hit = queries.join(c, (queries.scope == c.scope) & (c.start_date <= queries.day) & (c.end_date.isNull() | (queries.day < c.end_date)), "left")
-    return hit.groupBy("query_id").agg(F.max("rule_id").alias("rule_id"))
+    """queries(query_id, scope, day) -> (query_id, rule_id), null where no rule of the scope holds that day. Periods end
+    where the next rule starts, so the last rule to start until a day is the only one that can hold: rules and queries
+    lie in one order of scope and day, and each query looks back once."""
+    r = rules.filter("start_date is not null").select("scope", F.col("start_date").alias("day"), F.struct("rule_id", "end_date").alias("rule"), F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), F.lit(0).alias("asks"))
+    q = queries.select("scope", "day", F.lit(None).cast(r.schema["rule"].dataType).alias("rule"), "query_id", F.lit(1).alias("asks"))
+    by = Window.partitionBy("scope").orderBy("day", "asks", "rule.rule_id").rowsBetween(Window.unboundedPreceding, 0)
+    last = r.unionByName(q).withColumn("last", F.last("rule", ignorenulls=True).over(by)).filter("asks = 1")
+    holds = F.col("last.end_date").isNull() | (F.col("day") < F.col("last.end_date"))
+    return last.groupBy("query_id").agg(F.max(F.when(holds & F.col("scope").isNotNull() & F.col("day").isNotNull(), F.col("last.rule_id"))).alias("rule_id"))
 
 
 def latest_rule_at(rules: DataFrame, day: Column) -> DataFrame:
@@ -95,10 +101,10 @@ def match_condition(actual: Column, operator: Column, value: Column) -> Column:
 def threshold_evaluation(facts: DataFrame, rules: DataFrame) -> DataFrame:
     """facts(case_id, percentage), rules(rule_id, operator, threshold, conclusion, priority) -> per case its governing
     rule (lowest priority number, then id), all matches, and the conclusion; blocked without a percentage.
-    ``rules`` is a policy table of fixed size."""
+    ``rules`` is a policy table, whose size is checked."""
     p, t = F.col("percentage"), F.col("threshold")
     hit = F.when(F.col("operator") == "less-than", p < t).when(F.col("operator") == "at-most", p <= t).when(F.col("operator") == "at-least", p >= t).otherwise(p == t)
-    m = facts.join(F.broadcast(rules), hit, "left")
+    m = facts.join(policy(rules), hit, "left")
     order = F.struct("priority", "rule_id")
     out = m.groupBy("case_id").agg(F.min_by("conclusion", F.when(F.col("rule_id").isNotNull(), order)).alias("c"), F.count("rule_id").alias("matches"), F.max("percentage").alias("p"))
     return out.select("case_id", "matches", F.when(F.col("p").isNull(), "blocked").when(F.col("matches") == 0, "inconclusive").otherwise(F.col("c")).alias("conclusion"))

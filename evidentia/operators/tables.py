@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from ..functions.scalars import classify_raw_value, within_tolerance
 
 
+def policy(table: DataFrame, most: int = 10_000) -> DataFrame:
+    """A policy table to broadcast: raises where it has more than ``most`` rows, as a join on patterns would then be the
+    wrong plan."""
+    if table.limit(most + 1).count() > most:
+        raise ValueError(f"a policy table of more than {most} rows")
+    return F.broadcast(table)
+
+
 def duplicate_keys(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
 
@@ -73,7 +81,7 @@ def index_consistency(index: DataFrame, records: DataFrame, key: str, value: str
 def reconcile(expected: DataFrame, actual: DataFrame, overrides: DataFrame, absolute: float, relative: float) -> DataFrame:
     """expected(formula_id, class, expected), actual(formula_id, actual), overrides(class, absolute): one row per
     expected value; a value the expectation omits is not reported. ``overrides`` is a policy table."""
-    j = expected.join(actual, "formula_id", "left").join(F.broadcast(overrides.withColumnRenamed("absolute", "_abs")), "class", "left")
+    j = expected.join(actual, "formula_id", "left").join(overrides.withColumnRenamed("absolute", "_abs"), "class", "left")
     ok = within_tolerance(F.col("expected"), F.col("actual"), F.coalesce("_abs", F.lit(absolute)), F.lit(relative))
     return j.select("formula_id", F.when(F.col("actual").isNull(), "error").when(ok, "match").otherwise("mismatch").alias("status"))
 
@@ -172,13 +180,13 @@ def classify_fields(cells: DataFrame, runs: DataFrame, rules: DataFrame) -> Data
     """cells(cell_id, field), runs(run), rules(field_pattern, run_pattern, class, priority) -> the class of each cell and
     run by the first matching rule, empty where none. ``runs`` and ``rules`` are policy tables."""
     hit = F.contains(F.lower("field"), F.lower("field_pattern")) & ((F.col("run_pattern") == "*") | (F.col("run_pattern") == F.col("run")))
-    m = cells.join(F.broadcast(runs)).join(F.broadcast(rules), hit, "left")
+    m = cells.join(policy(runs)).join(policy(rules), hit, "left")
     return m.groupBy("cell_id", "run").agg(F.coalesce(F.min_by("class", F.when(F.col("priority").isNotNull(), F.struct(-F.col("priority"), "field_pattern"))), F.lit("")).alias("class"))
 
 
 def map_generic_field(descs: DataFrame, glossary: DataFrame) -> DataFrame:
     """descs(desc_id, text), glossary(pattern, generic): exact beats contained; one distinct target or null."""
-    j = descs.join(F.broadcast(glossary), F.contains(F.lower("text"), F.lower("pattern")), "left")
+    j = descs.join(policy(glossary), F.contains(F.lower("text"), F.lower("pattern")), "left")
     j = j.withColumn("exact", F.lower("text") == F.lower("pattern"))
     a = j.groupBy("desc_id").agg(*(f(F.when(c, F.col("generic"))).alias(n) for n, c, f in (("e", F.col("exact"), F.min), ("e2", F.col("exact"), F.max), ("c", F.lit(True), F.min), ("c2", F.lit(True), F.max))))
     return a.select("desc_id", F.when(F.col("e").isNotNull(), F.when(F.col("e") == F.col("e2"), F.col("e"))).otherwise(F.when(F.col("c") == F.col("c2"), F.col("c"))).alias("generic"))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import safe_path
+from ..operators.graphs import cut
 
 #: Reader families by file extension.
 FAMILIES = {"csv": "delimited", "tsv": "delimited", "json": "json", "jsonl": "json", "txt": "text", "md": "text", "xlsx": "workbook", "docx": "document", "pptx": "document", "pdf": "page", "zip": "container", "gz": "container"}
@@ -127,7 +128,7 @@ def content_store_write(files: DataFrame, path: str) -> DataFrame:
     right = F.sha2("content", 256) == F.col("sha256")
     told = files.join(have.distinct().withColumn("had", F.lit(True)), "sha256", "left")
     outcome = F.when(~right | right.isNull(), "mismatch").when(F.col("had"), "present").otherwise("stored")
-    out = told.select("sha256", outcome.alias("outcome")).distinct().checkpoint()  # told before the store grows
+    out = cut(told.select("sha256", outcome.alias("outcome")).distinct())  # told before the store grows
     new = files.filter(right).join(have, "sha256", "left_anti").dropDuplicates(["sha256"])
     new.select("sha256", "content", F.substring("sha256", 1, 2).alias("prefix")).write.mode("append").partitionBy("prefix").parquet(path)
     return out
