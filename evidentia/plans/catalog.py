@@ -585,4 +585,4 @@ def distinct_rule_rows(t):
     return V.distinct_rule_rows(t("orders").select(F.col("o_custkey").alias("rule_id"), F.col("o_orderkey").alias("position"), F.array("o_orderpriority", "o_orderstatus").alias("conditions")))
 
 
-from . import casework, governance, values  # noqa: E402, F401
+from . import casework, governance, registry, values  # noqa: E402, F401
