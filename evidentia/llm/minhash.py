@@ -8,10 +8,10 @@ them with a margin of five standard deviations, and the full shingle sets confir
 
 No bucket is expanded to all its pairs. First every member is held against the bucket's smallest id
 (as many pairs as members); what this links becomes components. Buckets that then still hold several
-components are looked at again: such buckets chained by common members form families, and in a family the
-documents outside its largest component meet all of it, block by block in numpy: the estimate first, then
-the full sets. Only a spanning forest of the links found leaves a task. So every two members of a bucket end
-in one component or were compared.
+components are looked at again, each on its own and once for all buckets of the same members: the documents
+outside its largest component meet all of the bucket, block by block in numpy: the estimate first, then the
+full sets. Only a spanning forest of the links found leaves a task. So every two members of a bucket end in
+one component or were compared.
 
 The only approximation is the banding: with 32 bands of 4 a pair of similarity s shares a bucket with
 probability 1-(1-s^4)^32, which is 1-5e-8 at s = 0.8.
@@ -229,22 +229,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, perms: i
     links = written(both.filter(F.col("both") * 100 >= (F.size("x") + F.size("y") - F.col("both")) * percent).select("a", "b"), "links")
     comp = connected_components(links)
 
-    # buckets of three and more that still hold several components, chained to families
-    named = rows_.join(buckets.filter("n > 2").select("key", "first"), "key").join(comp, "id", "left").select("key", "first", "id", F.coalesce("component", "id").alias("comp"))
-    named = members = written(named, "members")
-    mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-    named = named.join(mixed, "key")
-    family = connected_components(named.select(F.col("first").alias("a"), F.col("id").alias("b"))).withColumnRenamed("component", "family")
-    named = written(family.join(comp, "id", "left").select("family", "id", F.coalesce("component", "id").alias("comp")), "families")
-    per = named.groupBy("family", "comp").agg(F.count("*").alias("m"))
-    plan = per.groupBy("family").agg(F.max_by("comp", F.struct("m", "comp")).alias("big"), F.sum("m").alias("n"), F.max("m").alias("most")).filter("n > most")
-    plan = plan.select("family", "big", F.ceil(F.col("n") / block).cast("int").alias("nb"), F.ceil((F.col("n") - F.col("most")) / block).cast("int").alias("nq"))
-    part = named.join(plan, "family").join(sig.select("id", "sig"), "id").join(sets.withColumnRenamed("doc_id", "id"), "id")
+    # buckets of three and more that still hold several components; of those with the same members, one
+    named = rows_.join(buckets.filter("n > 2").select("key"), "key").join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
+    members = written(named, "members")
+    same = [F.count("*").alias("n"), *(F.sum(F.xxhash64("id", F.lit(k)).cast("decimal(38,0)")).alias(f"s{k}") for k in (0, 1))]
+    mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *same).filter("lo < hi")
+    named = written(members.join(mixed.groupBy("n", "s0", "s1").agg(F.min("key").alias("key")).select("key"), "key"), "mixed")
+    per = named.groupBy("key", "comp").agg(F.count("*").alias("m"))
+    plan = per.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("big"), F.sum("m").alias("n"), F.max("m").alias("most"))
+    plan = plan.select("key", "big", F.ceil(F.col("n") / block).cast("int").alias("nb"), F.ceil((F.col("n") - F.col("most")) / block).cast("int").alias("nq"))
+    part = named.join(plan, "key").join(sig.select("id", "sig"), "id").join(sets.withColumnRenamed("doc_id", "id"), "id")
     part = written(part, "parts")
     spread = F.pmod(F.xxhash64("id"), F.lit(1 << 30)).cast("int")
-    base = part.select("family", "id", "comp", "sig", "shingles", F.lit(False).alias("asks"), (spread % F.col("nb")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("j"))
-    asks = part.filter("comp != big").select("family", "id", "comp", "sig", "shingles", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("i"), (spread % F.col("nq")).alias("j"))
-    more = base.unionByName(asks).groupBy("family", "i", "j").applyInPandas(_cross_links(perms, least, percent), "a long, b long")
+    base = part.select("key", "id", "comp", "sig", "shingles", F.lit(False).alias("asks"), (spread % F.col("nb")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("j"))
+    asks = part.filter("comp != big").select("key", "id", "comp", "sig", "shingles", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("i"), (spread % F.col("nq")).alias("j"))
+    more = base.unionByName(asks).groupBy("key", "i", "j").applyInPandas(_cross_links(perms, least, percent), "a long, b long")
     more = written(more, "more")
     comp = connected_components(links.union(more))
     for table in (star, sets, part, named, members, lead, buckets, links, more):
