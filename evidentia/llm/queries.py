@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, license_scan, minhash, mixing, pii, pq_neardup, quality, sharding, tokenout
+from . import decontam, langid, license_scan, minhash, mixing, pii, pq_neardup, quality, ranked_search, sharding, substring, tokenout, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,7 +56,19 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents"), shards=8)
 
 
-QUERIES = {f.__name__: f for f in (op1_pq_neardup, op2_pii, op3_license_scan, op4_source_mix, op5_language_id, op6_quality, op7_decontaminate, op8_token_output, op9_minhash, op10_sharding)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"), most=8)
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), top=50)
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeats(_table(spark, sf_dir, "documents"), width=50)
+
+
+QUERIES = {f.__name__: f for f in (op1_pq_neardup, op2_pii, op3_license_scan, op4_source_mix, op5_language_id, op6_quality, op7_decontaminate, op8_token_output, op9_minhash, op10_sharding, op11_whitening, op12_ranked_search, op13_substring_dedup)}
 
 _COMPONENTS = """
 walk AS (
@@ -113,5 +125,36 @@ pairs AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id
 ends AS (SELECT DISTINCT a FROM pairs), {_COMPONENTS}
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(component_id, d.doc_id) AS component_id, d.doc_id = coalesce(component_id, d.doc_id) AS kept
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN comp ON comp.id = d.doc_id
+""",
+    "op12_ranked_search": r"""
+WITH t AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), d AS (SELECT doc_id, r, len(w)::BIGINT AS n FROM t), corpus AS (SELECT count(*) FILTER (n > 0) AS docs, sum(n)::BIGINT AS words FROM d),
+i AS (
+  SELECT item_id, q, unnest(list_distinct(w)) AS term FROM (
+    SELECT item_id, row_number() OVER () AS q, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark)
+), tf AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM t) WHERE term IN (SELECT term FROM i) GROUP BY ALL
+), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+gain AS (
+  SELECT r, term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // words))) AS gain
+  FROM tf JOIN df USING (term) JOIN d USING (r), corpus
+), total AS (SELECT item_id, q, r, sum(gain)::BIGINT AS score FROM i JOIN gain USING (term) GROUP BY ALL),
+placed AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM total JOIN d USING (r) WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM placed WHERE rank <= 50
+""",
+    "op13_substring_dedup": r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+  SELECT doc_id, r, i, sha256(array_to_string(w[i : i + 49], ' ')) AS g FROM (SELECT doc_id, r, w, unnest(generate_series(1, len(w) - 49)) AS i FROM d WHERE len(w) >= 50)
+), held AS (SELECT g, min(doc_id) AS least FROM win GROUP BY g),
+gone AS (SELECT DISTINCT r, unnest(generate_series(i, i + 49)) AS p FROM win JOIN held USING (g) WHERE doc_id > least),
+lost AS (SELECT r, count(*) AS n FROM gone GROUP BY r),
+kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY p) AS words
+  FROM (SELECT r, unnest(w) AS word, unnest(generate_series(1, len(w))) AS p FROM d) ANTI JOIN gone USING (r, p) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(words, '')) AS kept_sha256
+FROM d LEFT JOIN lost USING (r) LEFT JOIN kept USING (r)
 """,
 }
