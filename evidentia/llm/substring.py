@@ -122,8 +122,9 @@ def _cut(width: int, hot):
                 upto = np.append(0, np.cumsum(held))[np.append(begin, len(start))].astype(np.int32)
                 raw = np.ascontiguousarray(wh[part >= 0].view(np.uint8).reshape(-1, 8)[:, 2:])
                 blob = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(upto), pa.py_buffer(raw)])
-                key = np.where(part[begin] >= 0, h[begin].view(np.int64), t[lo + doc[begin]])
-                cols = [key, part[begin].astype(np.int32), ids[lo + doc[begin]].astype(np.int64), t[lo + doc[begin]], (at - first)[begin].astype(np.int32), mask]
+                of = lo + doc[begin]
+                apart = mix(t[of].view(np.uint64) + ids[of].astype(np.uint64) * _GOLD).view(np.int64)  # what is settled needs no meeting
+                cols = [np.where(part[begin] >= 0, h[begin].view(np.int64), apart), part[begin].astype(np.int32), ids[of].astype(np.int64), t[of], (at - first)[begin].astype(np.int32), mask]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, cols), blob], ["h", "part", "doc_id", "t", "at", "mask", "wh"])
 
     return run
