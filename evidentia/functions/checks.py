@@ -109,16 +109,26 @@ def identifier_error(value: Column, least: int, most: int, syntax: str, upper: b
     )
 
 
+#: Where a word of ASCII letters, digits and underscores begins and ends; ``\\b`` depends on the Java release.
+ASCII_START, ASCII_END = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+
+
+def _words(*texts: str) -> str:
+    return f"{ASCII_START}(?:{'|'.join(texts)}){ASCII_END}"
+
+
+#: The words of this function and of the two below it, with their weights.
 def provision_kind(text: Column) -> Column:
+    """example, formula or provision; null for a null text."""
     low = F.lower(text)
-    return F.when(low.rlike(r"\b(?:example|illustration|for instance)\b"), "example").when(low.rlike(r"\bformula\b|=|\bmultiplied by\b|\btimes\b"), "formula").otherwise("provision")
+    return F.when(low.rlike(_words("example", "illustration", "for instance")), "example").when(low.rlike(_words("formula", "multiplied by", "times") + "|="), "formula").when(text.isNotNull(), "provision")
 
 
 def provision_issues(text: Column) -> Column:
     low = F.lower(text)
     return F.array_compact(F.array(
-        F.when(low.rlike(r"\bmay\b|\bat the discretion of\b"), "ambiguous-text"),
-        F.when(low.rlike(r"\bundefined term\b|\bnot defined\b"), "undefined-term"),
+        F.when(low.rlike(_words("may", "at the discretion of")), "ambiguous-text"),
+        F.when(low.rlike(_words("undefined term", "not defined")), "undefined-term"),
         F.when(provision_kind(text) == "example", "other"),
     ))
 

@@ -1,8 +1,15 @@
-"""Graph operators as bounded loops of joins; each round is cut by checkpoint() in the shared folder."""
+"""Graph operators as bounded loops of joins; each round is cut by checkpoint() in the shared folder.
+
+Chains, runs of nodes with one edge in and one out, are drawn together first by pointer doubling: a chain of n nodes takes
+the logarithm of n in rounds and leaves one edge that is as long as the chain. A ring of such nodes is a cycle, found by the
+same doubling. What is left is walked breadth first, peeled, or parted into components by forward colours and backward
+search; its rounds grow with the longest path between branching nodes.
+"""
 
 from __future__ import annotations
 
 import tempfile
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,17 +31,59 @@ def _rounds(bound: int):
     raise RuntimeError("the graph did not settle within its bound of rounds")
 
 
+@dataclass
+class Contracted:
+    """edges(src, dst, w): what is left, w being the number of edges each stands for; inner(id, start, stop, place): the
+    nodes of chains with the chain's two ends and their place in it from 1; rings(id, cycle): nodes of rings with their
+    smallest member."""
+
+    edges: DataFrame
+    inner: DataFrame
+    rings: DataFrame
+
+
+def contract(edges: DataFrame, keep: DataFrame | None = None) -> Contracted:
+    """edges(src, dst), distinct, or (src, dst, w). Nodes of ``keep``(id) stay as they are."""
+    e = edges if "w" in edges.columns else edges.withColumn("w", F.lit(1).cast("long"))
+    out = e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("a"), F.min("dst").alias("next"), F.min("w").alias("w")).filter("a = 1 and id <> next")
+    into = e.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("b"), F.min("src").alias("before"), F.min("w").alias("v")).filter("b = 1")
+    chain = out.join(into, "id").select("id", "next", "before", "w", "v")
+    chain = cut(chain if keep is None else chain.join(keep.select("id").distinct(), "id", "left_anti"))
+    n = chain.count()
+    ids = chain.select("id")
+    # where a pointer leads: its length, the last node of the chain that it passes, the least one, and if it may go on
+    now = chain.select("id", F.col("next").alias("to"), F.col("w").alias("far"), F.col("id").alias("last"), F.col("id").alias("low"))
+    now = now.join(ids.select(F.col("id").alias("to"), F.lit(True).alias("on")), "to", "left").select("id", "to", "far", "last", "low", F.coalesce("on", F.lit(False)).alias("on"))
+    now = cut(now)
+    for _ in range(n.bit_length() if n else 0):
+        if now.filter("on").isEmpty():
+            break
+        there = now.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("far").alias("far2"), F.col("last").alias("last2"), F.col("low").alias("low2"), F.col("on").alias("on2"))
+        step = now.filter("on").join(there, "to").select("id", F.col("to2").alias("to"), (F.col("far") + F.col("far2")).alias("far"), F.col("last2").alias("last"), F.least("low", "low2").alias("low"), F.col("on2").alias("on"))
+        now = cut(now.filter("not on").unionByName(step))
+    rings = now.filter("on").select("id", F.col("low").alias("cycle"))
+    ended = now.filter("not on")
+    first = chain.join(ids.select(F.col("id").alias("before")), "before", "left_anti").select("id", "before", "v")
+    whole = ended.join(first, "id").select("last", F.col("before").alias("start"), F.col("to").alias("stop"), (F.col("v") + F.col("far")).alias("w"))
+    inner = ended.join(whole.select("last", "start", "stop", "w"), "last").select("id", "start", "stop", (F.col("w") - F.col("far")).alias("place"))
+    apart = lambda c: ids.select(F.col("id").alias(c))
+    rest = e.join(apart("src"), "src", "left_anti").join(apart("dst"), "dst", "left_anti").select("src", "dst", "w")
+    return Contracted(cut(rest.unionByName(whole.select(F.col("start").alias("src"), F.col("stop").alias("dst"), "w"))), cut(inner), rings)
+
+
 def reachable(edges: DataFrame, roots: DataFrame, bound: int = 10_000) -> DataFrame:
-    """edges(src, dst), roots(id) -> (id, depth): breadth first, each node once at its least depth."""
-    edges = cut(edges.select("src", "dst").distinct())
-    seen = cut(roots.select("id").distinct().withColumn("depth", F.lit(0)))
-    front = seen
-    for k in _rounds(bound):
-        nxt = front.join(edges, front.id == edges.src).select(F.col("dst").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(k + 1))
-        front = cut(nxt)
+    """edges(src, dst), roots(id) -> (id, depth): each node that a root reaches, with its least depth."""
+    roots = cut(roots.select("id").distinct())
+    c = contract(edges.select("src", "dst").distinct(), roots)
+    seen = front = roots.withColumn("depth", F.lit(0).cast("long"))
+    for _ in _rounds(bound):
+        step = front.join(c.edges, front.id == c.edges.src).groupBy(F.col("dst").alias("id")).agg(F.min(F.col("depth") + F.col("w")).alias("depth"))
+        front = cut(step.join(seen.withColumnRenamed("depth", "had"), "id", "left").filter("had is null or depth < had").select("id", "depth"))
         if front.isEmpty():
-            return seen
-        seen = cut(seen.union(front)) if k % 5 == 4 else seen.union(front)
+            break
+        seen = cut(seen.unionByName(front).groupBy("id").agg(F.min("depth").alias("depth")))
+    within = c.inner.join(seen.withColumnRenamed("id", "start"), "start").select("id", (F.col("depth") + F.col("place")).alias("depth"))
+    return seen.unionByName(within).select("id", F.col("depth").cast("int").alias("depth"))
 
 
 def unreachable_nodes(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
@@ -44,41 +93,79 @@ def unreachable_nodes(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> D
 def execution_order(nodes: DataFrame, edges: DataFrame, bound: int = 10_000) -> DataFrame:
     """nodes(id), edges(src, dst): dst depends on src. -> (id, level): 1 + the longest path before it; null on a cycle
     or after one. (level, id) is a topological order."""
-    left = cut(nodes.select("id").distinct())
     edges = cut(edges.select("src", "dst").distinct())
-    done = None
-    for k in _rounds(bound):
-        free = cut(left.join(edges.select(F.col("dst").alias("id")), "id", "left_anti").withColumn("level", F.lit(k + 1)))
+    every = cut(nodes.select("id").union(edges.select("src")).union(edges.select("dst")).distinct())
+    c = contract(edges)
+    left = every.join(c.inner.select("id"), "id", "left_anti").join(c.rings.select("id"), "id", "left_anti").withColumn("level", F.lit(1).cast("long"))
+    edges, done = c.edges, None
+    for _ in _rounds(bound):
+        left = cut(left)
+        free = cut(left.join(edges.select(F.col("dst").alias("id")).distinct(), "id", "left_anti"))
         if free.isEmpty():
-            rest = left.withColumn("level", F.lit(None).cast("int"))
-            return rest if done is None else done.union(rest)
-        done = free if done is None else done.union(free)
-        left = cut(left.join(free, "id", "left_anti"))
+            break
+        done = free if done is None else done.unionByName(free)
+        gain = edges.join(free.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.max(F.col("level") + F.col("w")).alias("gain"))
+        left = left.join(free.select("id"), "id", "left_anti").join(gain, "id", "left").select("id", F.greatest("level", "gain").alias("level"))
         edges = cut(edges.join(free.select(F.col("id").alias("src")), "src", "left_anti"))
+    if done is not None:
+        done = cut(done)
+        done = done.unionByName(c.inner.join(done.withColumnRenamed("id", "start"), "start").select("id", (F.col("level") + F.col("place")).alias("level")))
+        every = every.join(done, "id", "left")
+    else:
+        every = every.withColumn("level", F.lit(None))
+    return nodes.select("id").distinct().join(every, "id").select("id", F.col("level").cast("int").alias("level"))
+
+
+def _components(edges: DataFrame, bound: int) -> tuple[DataFrame, DataFrame]:
+    """One pass of forward colours and backward search: (id, cycle) of the components found, and the edges that may still
+    hold others. A node's colour is the smallest node that reaches it; what of a colour reaches its namesake is one."""
+    colour = cut(edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct().withColumn("c", F.col("id")))
+    for _ in _rounds(bound):
+        low = edges.join(colour.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("c").alias("m"))
+        new = cut(colour.join(low, "id", "left").select("id", F.least("c", "m").alias("c"), (F.col("m") < F.col("c")).alias("moved")))
+        colour = new.select("id", "c")
+        if new.filter("moved").isEmpty():
+            break
+    of = lambda x: colour.select(F.col("id").alias(x), F.col("c").alias(f"c_{x}"))
+    inside = cut(edges.join(of("src"), "src").join(of("dst"), "dst").filter("c_src = c_dst").select("src", "dst", "w", F.col("c_src").alias("c")))
+    front = cut(inside.filter("dst = c").select(F.col("src").alias("id"), "c").distinct())
+    seen = front
+    for _ in _rounds(bound):
+        if front.isEmpty():
+            break
+        front = cut(inside.join(front.select(F.col("id").alias("dst")), "dst").select(F.col("src").alias("id"), "c").distinct().join(seen, ["id", "c"], "left_anti"))
+        seen = cut(seen.unionByName(front))
+    found = seen.select("id", F.col("c").alias("cycle"))
+    gone = found.select("id")
+    rest = inside.join(gone.select(F.col("id").alias("src")), "src", "left_anti").join(gone.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst", "w")
+    return found, cut(rest)
 
 
 def cycle_members(edges: DataFrame, bound: int = 10_000) -> DataFrame:
-    """(id, cycle): nodes on a cycle, named by its smallest member. Sources and sinks are trimmed to a fixed point;
-    what is left is closed transitively, which needs cycles and what joins them to be small."""
-    e = cut(edges.select("src", "dst").distinct())
-    n = e.count()
-    for _ in _rounds(bound):
-        e = cut(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-        m = e.count()
-        if m == n:
-            break
-        n = m
-    reach, n = e, e.count()
+    """(id, cycle): nodes on a cycle, named by the smallest member of their strongly connected component."""
+    e = cut(edges.select("src", "dst").distinct().filter("src is not null and dst is not null"))
+    comp = e.filter("src = dst").select(F.col("src").alias("id"), F.col("src").alias("cycle"))
+    e = e.filter("src <> dst")
+    layers = []
     for _ in _rounds(bound):
-        step = reach.join(reach.select(F.col("src").alias("dst"), F.col("dst").alias("to")), "dst").select("src", F.col("to").alias("dst"))
-        reach = cut(reach.union(step).distinct())
-        m = reach.count()
-        if m == n:
+        c = contract(e)
+        layers.append(c.inner)
+        comp = comp.unionByName(c.rings).unionByName(c.edges.filter("src = dst").select(F.col("src").alias("id"), F.col("src").alias("cycle")))
+        g = c.edges.filter("src <> dst").groupBy("src", "dst").agg(F.min("w").alias("w"))
+        e = cut(g.join(g.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(g.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst", "w"))
+        n = e.count()
+        if not n:
             break
-        n = m
-    back = reach.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    both = reach.join(back, ["src", "dst"])
-    return both.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("cycle"))
+        if n == g.count() and c.inner.isEmpty() and c.rings.isEmpty():  # neither chains nor ends are left
+            found, e = _components(e, bound)
+            comp = comp.unionByName(found)
+    # a node of a component may also stand for itself by a loop: the component counts
+    comp = cut(comp.groupBy("id").agg(F.min("cycle").alias("cycle")))
+    for inner in reversed(layers):
+        of = lambda x, comp=comp: comp.select(F.col("id").alias(x), F.col("cycle").alias(f"c_{x}"))
+        comp = comp.unionByName(inner.join(of("start"), "start").join(of("stop"), "stop").filter("c_start = c_stop").select("id", F.col("c_start").alias("cycle")))
+    names = comp.groupBy("cycle").agg(F.min("id").alias("name"))
+    return comp.join(names, "cycle").select("id", F.col("name").alias("cycle"))
 
 
 def propagate_blocks(edges: DataFrame, failed: DataFrame, bound: int = 10_000) -> DataFrame:
