@@ -1,4 +1,4 @@
-"""Graph operators as bounded loops of joins; each round is cut by checkpoint() in the shared folder.
+"""Graph operators as bounded loops of joins; each round is cut by a table in the shared folder.
 
 Chains, runs of nodes with one edge in and one out, are drawn together first by pointer doubling: a chain of n nodes takes
 the logarithm of n in rounds and leaves one edge that is as long as the chain. A ring of such nodes is a cycle, found by the
@@ -9,21 +9,30 @@ search; its rounds grow with the longest path between branching nodes.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+_OWN: dict[str, str] = {}
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        at = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not at and not sc.master.startswith("local"):
+    """``df`` as a Parquet table in the shared folder, in no more partitions than a shuffle has: unions would add theirs up
+    from round to round. A table, unlike a checkpoint, hands on no constraints of the plan that made it; those double
+    with every join, so that planning the twentieth round of a loop would take minutes."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not at:
+        if not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        sc.setCheckpointDir(at or "file://" + tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+        at = _OWN.setdefault(sc.applicationId, "file://" + tempfile.mkdtemp(prefix="spark-"))
+    path = f"{at.rstrip('/')}/round-{uuid.uuid4().hex}"
+    df.coalesce(int(spark.conf.get("spark.sql.shuffle.partitions"))).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _rounds(bound: int):
@@ -35,11 +44,12 @@ def _rounds(bound: int):
 class Contracted:
     """edges(src, dst, w): what is left, w being the number of edges each stands for; inner(id, start, stop, place): the
     nodes of chains with the chain's two ends and their place in it from 1; rings(id, cycle): nodes of rings with their
-    smallest member."""
+    smallest member; size: how many nodes were in chains and rings."""
 
     edges: DataFrame
     inner: DataFrame
     rings: DataFrame
+    size: int
 
 
 def contract(edges: DataFrame, keep: DataFrame | None = None) -> Contracted:
@@ -49,8 +59,9 @@ def contract(edges: DataFrame, keep: DataFrame | None = None) -> Contracted:
     into = e.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("b"), F.min("src").alias("before"), F.min("w").alias("v")).filter("b = 1")
     chain = out.join(into, "id").select("id", "next", "before", "w", "v")
     chain = cut(chain if keep is None else chain.join(keep.select("id").distinct(), "id", "left_anti"))
-    n = chain.count()
-    ids = chain.select("id")
+    n, ids = chain.count(), chain.select("id")
+    if not n:
+        return Contracted(e.select("src", "dst", "w"), chain.select("id", F.col("before").alias("start"), F.col("next").alias("stop"), F.col("v").alias("place")), chain.select("id", F.col("id").alias("cycle")), 0)
     # where a pointer leads: its length, the last node of the chain that it passes, the least one, and if it may go on
     now = chain.select("id", F.col("next").alias("to"), F.col("w").alias("far"), F.col("id").alias("last"), F.col("id").alias("low"))
     now = now.join(ids.select(F.col("id").alias("to"), F.lit(True).alias("on")), "to", "left").select("id", "to", "far", "last", "low", F.coalesce("on", F.lit(False)).alias("on"))
@@ -68,7 +79,7 @@ def contract(edges: DataFrame, keep: DataFrame | None = None) -> Contracted:
     inner = ended.join(whole.select("last", "start", "stop", "w"), "last").select("id", "start", "stop", (F.col("w") - F.col("far")).alias("place"))
     apart = lambda c: ids.select(F.col("id").alias(c))
     rest = e.join(apart("src"), "src", "left_anti").join(apart("dst"), "dst", "left_anti").select("src", "dst", "w")
-    return Contracted(cut(rest.unionByName(whole.select(F.col("start").alias("src"), F.col("stop").alias("dst"), "w"))), cut(inner), rings)
+    return Contracted(cut(rest.unionByName(whole.select(F.col("start").alias("src"), F.col("stop").alias("dst"), "w"))), cut(inner), rings, n)
 
 
 def reachable(edges: DataFrame, roots: DataFrame, bound: int = 10_000) -> DataFrame:
@@ -118,8 +129,10 @@ def execution_order(nodes: DataFrame, edges: DataFrame, bound: int = 10_000) ->
 
 def _components(edges: DataFrame, bound: int) -> tuple[DataFrame, DataFrame]:
     """One pass of forward colours and backward search: (id, cycle) of the components found, and the edges that may still
-    hold others. A node's colour is the smallest node that reaches it; what of a colour reaches its namesake is one."""
-    colour = cut(edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct().withColumn("c", F.col("id")))
+    hold others. A node's colour is the node of the least hash that reaches it; what of a colour reaches its namesake is
+    one. By hashes, not ids, colours part the graph however its ids are dealt."""
+    name = F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("id"))
+    colour = cut(edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct().withColumn("c", name))
     for _ in _rounds(bound):
         low = edges.join(colour.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("c").alias("m"))
         new = cut(colour.join(low, "id", "left").select("id", F.least("c", "m").alias("c"), (F.col("m") < F.col("c")).alias("moved")))
@@ -127,7 +140,7 @@ def _components(edges: DataFrame, bound: int) -> tuple[DataFrame, DataFrame]:
         if new.filter("moved").isEmpty():
             break
     of = lambda x: colour.select(F.col("id").alias(x), F.col("c").alias(f"c_{x}"))
-    inside = cut(edges.join(of("src"), "src").join(of("dst"), "dst").filter("c_src = c_dst").select("src", "dst", "w", F.col("c_src").alias("c")))
+    inside = cut(edges.join(of("src"), "src").join(of("dst"), "dst").filter("c_src = c_dst").select("src", "dst", "w", F.col("c_src.id").alias("c")))
     front = cut(inside.filter("dst = c").select(F.col("src").alias("id"), "c").distinct())
     seen = front
     for _ in _rounds(bound):
@@ -149,21 +162,27 @@ def cycle_members(edges: DataFrame, bound: int = 10_000) -> DataFrame:
     layers = []
     for _ in _rounds(bound):
         c = contract(e)
-        layers.append(c.inner)
-        comp = comp.unionByName(c.rings).unionByName(c.edges.filter("src = dst").select(F.col("src").alias("id"), F.col("src").alias("cycle")))
-        g = c.edges.filter("src <> dst").groupBy("src", "dst").agg(F.min("w").alias("w"))
-        e = cut(g.join(g.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(g.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst", "w"))
-        n = e.count()
+        if c.size:
+            layers.append(c.inner)
+            comp = comp.unionByName(c.rings).unionByName(c.edges.filter("src = dst").select(F.col("src").alias("id"), F.col("src").alias("cycle")))
+        e = cut(c.edges.filter("src <> dst").groupBy("src", "dst").agg(F.min("w").alias("w")))
+        n, before = e.count(), -1
+        while n and n != before and (before < 0 or n < 0.9 * before):  # sources and sinks go, as long as they are many
+            before = n
+            e = cut(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst", "w"))
+            n = e.count()
         if not n:
             break
-        if n == g.count() and c.inner.isEmpty() and c.rings.isEmpty():  # neither chains nor ends are left
+        if n == before and not c.size:  # neither chains nor ends are left
             found, e = _components(e, bound)
             comp = comp.unionByName(found)
+            if e.isEmpty():
+                break
     # a node of a component may also stand for itself by a loop: the component counts
     comp = cut(comp.groupBy("id").agg(F.min("cycle").alias("cycle")))
     for inner in reversed(layers):
         of = lambda x, comp=comp: comp.select(F.col("id").alias(x), F.col("cycle").alias(f"c_{x}"))
-        comp = comp.unionByName(inner.join(of("start"), "start").join(of("stop"), "stop").filter("c_start = c_stop").select("id", F.col("c_start").alias("cycle")))
+        comp = cut(comp.unionByName(inner.join(of("start"), "start").join(of("stop"), "stop").filter("c_start = c_stop").select("id", F.col("c_start").alias("cycle"))))
     names = comp.groupBy("cycle").agg(F.min("id").alias("name"))
     return comp.join(names, "cycle").select("id", F.col("name").alias("cycle"))
 
