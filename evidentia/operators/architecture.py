@@ -48,14 +48,30 @@ def matching_conditions(facts: DataFrame, conditions: DataFrame) -> DataFrame:
 
 
 def select_scenarios(facts: DataFrame, conditions: DataFrame) -> DataFrame:
-    """facts as above, conditions with scenario_id and source -> (case_id, scenario_id, met, conditions, status): selected
-    where all conditions of a scenario are met, unresolved where some of each of its sources are, else not-selected.
-    Scenarios that nothing of a case meets have no row."""
-    met = matching_conditions(facts, conditions).join(conditions.select("condition_id", "scenario_id", "source"), "condition_id")
-    size = conditions.groupBy("scenario_id").agg(F.count("*").alias("conditions"), F.count_distinct("source").alias("sources"))
-    g = met.groupBy("case_id", "scenario_id").agg(F.count("*").alias("met"), F.count_distinct("source").alias("met_sources")).join(size, "scenario_id")
-    status = F.when(F.col("met") == F.col("conditions"), "selected").when(F.col("met_sources") == F.col("sources"), "unresolved").otherwise("not-selected")
-    return g.select("case_id", "scenario_id", "met", "conditions", status.alias("status"))
+    """facts as above, conditions(condition_id, scenario_id, source, excludes, dimension, operator, value), source being
+    rule, case or population -> (case_id, scenario_id, met, conditions, status) for every case that has a fact and every
+    scenario; met and conditions count those that do not exclude.
+
+    unresolved: the case has no fact of a population condition's dimension, or meets some of the scenario's rule
+    conditions, but not all; else not-selected: a case or population condition is not met, or there are rule conditions
+    and none is; else excluded: an excluding condition is met; else selected. Scenarios are a policy table, so that the
+    result, each case with each of them, is what is asked for and no join by chance."""
+    c = conditions.select("condition_id", "scenario_id", "source", F.coalesce("excludes", F.lit(False)).alias("excludes"), "dimension", "operator", F.col("value").alias("wanted"))
+    of = lambda source: ~F.col("excludes") & (F.col("source") == source)
+    size = c.groupBy("scenario_id").agg(F.count_if(~F.col("excludes")).alias("conditions"), *(F.count_if(of(s)).alias(s) for s in ("rule", "case", "population")))
+    hit = F.coalesce(match_condition(F.col("value"), F.col("operator"), F.col("wanted")), F.lit(False))
+    told = facts.filter("value is not null").join(c, "dimension").groupBy("case_id", "scenario_id", "condition_id", "source", "excludes").agg(F.max(hit).alias("hit"))
+    count = lambda when, name: F.count_if(when).alias(name)
+    per = told.groupBy("case_id", "scenario_id").agg(count(~F.col("excludes") & F.col("hit"), "met"), count(of("population"), "known"), *(count(of(s) & F.col("hit"), f"met_{s}") for s in ("rule", "case", "population")), count(F.col("excludes") & F.col("hit"), "barred"))
+    every = facts.select("case_id").distinct().crossJoin(policy_table(size)).join(per, ["case_id", "scenario_id"], "left").fillna(0)
+    n = {x: F.col(x) for x in every.columns}
+    status = (
+        F.when((n["known"] < n["population"]) | ((n["met_rule"] > 0) & (n["met_rule"] < n["rule"])), "unresolved")
+        .when((n["met_case"] < n["case"]) | (n["met_population"] < n["population"]) | ((n["rule"] > 0) & (n["met_rule"] == 0)), "not-selected")
+        .when(n["barred"] > 0, "excluded")
+        .otherwise("selected")
+    )
+    return every.select("case_id", "scenario_id", "met", "conditions", status.alias("status"))
 
 
 def intersect_condition_ranges(matches: list[DataFrame]) -> DataFrame:

@@ -79,9 +79,10 @@ def near_duplicate_members(docs: DataFrame) -> DataFrame:
 
 
 def snapshot_totals(entries: DataFrame) -> DataFrame:
-    """entries(sha256, size_bytes) -> count, bytes, and an id that no order of rows changes."""
-    number = F.conv(F.substring("sha256", 1, 12), 16, 10).cast("decimal(38,0)")
-    return entries.agg(F.count("*").alias("entries"), F.sum("size_bytes").alias("total_bytes"), F.sum(number).cast("string").alias("snapshot_id"))
+    """entries(sha256, size_bytes) -> count, bytes, and an id that no order of rows changes: the sums of each 12 hex digits
+    of the hashes, all 64 of them."""
+    parts = [F.sum(F.conv(F.substring("sha256", k, 12), 16, 10).cast("decimal(38,0)")).cast("string") for k in range(1, 65, 12)]
+    return entries.agg(F.count("*").alias("entries"), F.sum("size_bytes").alias("total_bytes"), F.concat_ws("-", *parts).alias("snapshot_id"))
 
 
 def snapshot_diff(prior: DataFrame, current: DataFrame) -> DataFrame:

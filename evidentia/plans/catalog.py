@@ -75,7 +75,7 @@ def near_duplicate_members(t):
     return E.near_duplicate_members(_docs(t))
 
 
-@query(f"WITH {_H} SELECT count(*) AS entries, sum(size_bytes)::BIGINT AS total_bytes, sum(('0x' || substr(sha256, 1, 12))::BIGINT)::VARCHAR AS snapshot_id FROM h")
+@query(f"WITH {_H} SELECT count(*) AS entries, sum(size_bytes)::BIGINT AS total_bytes, concat_ws('-', {', '.join(f"sum(('0x' || substr(sha256, {k}, 12))::BIGINT)::VARCHAR" for k in range(1, 65, 12))}) AS snapshot_id FROM h")
 def snapshot_totals(t):
     return E.snapshot_totals(_hashed(t))
 

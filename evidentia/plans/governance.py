@@ -14,8 +14,8 @@ def _table(df, names: str, rows: list[tuple]):
 
 
 _FACTS = """f AS (SELECT o_orderkey AS case_id, unnest(['priority', 'status', 'price', 'clerk']) AS dimension, unnest([o_orderpriority, o_orderstatus, floor(o_totalprice)::BIGINT::VARCHAR, CASE WHEN o_orderkey % 3 = 0 THEN 'absent' WHEN o_orderkey % 3 = 1 THEN 'Clerk' END]) AS v FROM orders),
-ff AS (SELECT * FROM f WHERE v IS NOT NULL), c AS (SELECT unnest(['c1', 'c2', 'c3', 'c4', 'c5', 'c6']) AS condition_id, unnest(['priority', 'price', 'status', 'clerk', 'price', 'clerk']) AS dimension, unnest(['contains', 'greater-than', 'equals', 'absent', 'less-than', 'present']) AS op,
-unnest(['urgent', '150000', 'F', '', '9000', '']) AS w, unnest(['s1', 's1', 's1', 's2', 's2', 's3']) AS scenario_id, unnest(['rule', 'case', 'case', 'rule', 'case', 'case']) AS source),
+ff AS (SELECT * FROM f WHERE v IS NOT NULL), c AS (SELECT unnest(['c1', 'c2', 'c3', 'c4', 'c5', 'c6', 'c7', 'c8', 'c9', 'c10', 'c11']) AS condition_id, unnest(['priority', 'price', 'status', 'clerk', 'price', 'clerk', 'clerk', 'status', 'priority', 'price', 'status']) AS dimension, unnest(['contains', 'greater-than', 'equals', 'absent', 'less-than', 'present', 'equals', 'equals', 'contains', 'greater-than', 'equals']) AS op,
+unnest(['urgent', '150000', 'F', '', '9000', '', 'Clerk', 'O', 'high', '100000', 'P']) AS w, unnest(['s1', 's1', 's1', 's2', 's2', 's3', 's4', 's4', 's5', 's5', 's5']) AS scenario_id, unnest(['rule', 'case', 'case', 'rule', 'case', 'case', 'population', 'case', 'rule', 'rule', 'case']) AS source),
 m AS (SELECT DISTINCT case_id, condition_id, scenario_id, source FROM ff JOIN c USING (dimension) WHERE CASE op WHEN 'contains' THEN contains(lower(v), w) WHEN 'greater-than' THEN TRY_CAST(v AS DOUBLE) > TRY_CAST(w AS DOUBLE)
 WHEN 'less-than' THEN TRY_CAST(v AS DOUBLE) < TRY_CAST(w AS DOUBLE) WHEN 'equals' THEN v = w WHEN 'absent' THEN v = 'absent' ELSE true END)"""
 
@@ -28,7 +28,7 @@ def _facts(t):
 
 
 def _conditions(t):
-    return _table(t("orders"), "condition_id dimension operator value scenario_id source", [("c1", "priority", "contains", "urgent", "s1", "rule"), ("c2", "price", "greater-than", "150000", "s1", "case"), ("c3", "status", "equals", "F", "s1", "case"), ("c4", "clerk", "absent", "", "s2", "rule"), ("c5", "price", "less-than", "9000", "s2", "case"), ("c6", "clerk", "present", "", "s3", "case")])
+    return _table(t("orders"), "condition_id dimension operator value scenario_id source", [("c1", "priority", "contains", "urgent", "s1", "rule"), ("c2", "price", "greater-than", "150000", "s1", "case"), ("c3", "status", "equals", "F", "s1", "case"), ("c4", "clerk", "absent", "", "s2", "rule"), ("c5", "price", "less-than", "9000", "s2", "case"), ("c6", "clerk", "present", "", "s3", "case"), ("c7", "clerk", "equals", "Clerk", "s4", "population"), ("c8", "status", "equals", "O", "s4", "case"), ("c9", "priority", "contains", "high", "s5", "rule"), ("c10", "price", "greater-than", "100000", "s5", "rule"), ("c11", "status", "equals", "P", "s5", "case")]).withColumn("excludes", F.col("condition_id") == "c11")
 
 
 @query(f"WITH {_FACTS} SELECT case_id, condition_id FROM m")
@@ -36,8 +36,12 @@ def matching_conditions(t):
     return A.matching_conditions(_facts(t), _conditions(t))
 
 
-@query(f"""WITH {_FACTS}, n AS (SELECT scenario_id, count(*) AS conditions, count(DISTINCT source) AS sources FROM c GROUP BY 1), g AS (SELECT case_id, scenario_id, count(*) AS met, count(DISTINCT source) AS s FROM m GROUP BY ALL)
-SELECT case_id, scenario_id, met, conditions, CASE WHEN met = conditions THEN 'selected' WHEN s = sources THEN 'unresolved' ELSE 'not-selected' END AS status FROM g JOIN n USING (scenario_id)""")
+@query(f"""WITH {_FACTS}, k AS (SELECT case_id, c.* , EXISTS (FROM m WHERE m.case_id = f.case_id AND m.condition_id = c.condition_id) AS hit, EXISTS (FROM ff WHERE ff.case_id = f.case_id AND ff.dimension = c.dimension) AS known, c.condition_id = 'c11' AS bar FROM (SELECT DISTINCT case_id FROM ff) f, c)
+SELECT case_id, scenario_id, count(*) FILTER (hit AND NOT bar) AS met, count(*) FILTER (NOT bar) AS conditions, CASE
+WHEN bool_or(source = 'population' AND NOT known) THEN 'unresolved'
+WHEN bool_or(source = 'rule' AND hit) AND bool_or(source = 'rule' AND NOT hit) THEN 'unresolved'
+WHEN bool_or(source = 'case' AND NOT hit AND NOT bar) OR bool_or(source = 'population' AND NOT hit) OR bool_or(source = 'rule' AND NOT hit) THEN 'not-selected'
+WHEN bool_or(bar AND hit) THEN 'excluded' ELSE 'selected' END AS status FROM k GROUP BY ALL""")
 def select_scenarios(t):
     return A.select_scenarios(_facts(t), _conditions(t))
 
