@@ -52,9 +52,11 @@ def rule_shingles(text: Column) -> Column:
 
 
 def tab_matches(value: Column, pattern: Column) -> Column:
-    """A pattern with an asterisk matches the whole value, any other is contained in it; case is ignored."""
+    """A pattern with an asterisk matches the whole value, any other is contained in it; case is ignored. Every sign but the
+    asterisk stands for itself."""
     v, p = F.lower(value), F.lower(pattern)
-    return F.when(F.contains(p, F.lit("*")), F.call_function("rlike", v, F.concat(F.lit("^"), F.replace(p, F.lit("*"), F.lit(".*")), F.lit("$")))).otherwise(F.contains(v, p))
+    quoted = F.concat(F.lit(r"^\Q"), F.replace(F.replace(p, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit("*"), F.lit(r"\E.*\Q")), F.lit(r"\E$"))
+    return F.when(F.contains(p, F.lit("*")), F.call_function("rlike", v, quoted)).otherwise(F.contains(v, p))
 
 
 def class_matches(value: Column, pattern: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.checks import requires_override, tab_matches
 from ..functions.scalars import cell_coords
+from .registry import normalize_identity
 from .rules import match_condition
 from .tables import policy as policy_table
 
@@ -195,22 +196,34 @@ def cell_mappings(cells: DataFrame, classes: DataFrame, tabs: DataFrame) -> Data
     return j.select("cell_id", "run", "class", F.when(takes, F.col("field")).alias("source_field"), F.when(gives, F.concat(F.lit("FORMULA-"), F.hex(F.encode(F.col("run").cast("string"), "UTF-8")), F.lit("-"), F.hex(F.encode(F.col("cell_id").cast("string"), "UTF-8")))).alias("formula_id"))
 
 
-def select_tabs(sheets: DataFrame, policy: DataFrame, observed: DataFrame) -> DataFrame:
-    """sheets(sheet_id, name, hidden, content_hash), policy(pattern, role, required array), observed(sheet_id, field) ->
-    (sheet_id, role, missing, status): the first pattern in code point order that a name matches gives its role; hidden
-    sheets are out, sheets of one name but other content are blocked, and so is one that lacks required fields. ``policy``
-    is a policy table: each pattern is tried on each name."""
-    key = F.lower(F.trim(F.regexp_replace("name", r"\s+", " ")))
-    same = sheets.groupBy(key.alias("key")).agg(F.count_distinct("content_hash").alias("contents"))
-    m = sheets.join(policy_table(policy), tab_matches(F.col("name"), F.col("pattern")), "left")
-    m = m.groupBy("sheet_id", "name", "hidden").agg(F.min_by("role", "pattern").alias("role"), F.min_by("required", "pattern").alias("required"))
-    m = m.withColumn("key", key).join(same, "key")
-    need = m.select("sheet_id", F.explode("required").alias("field"))
-    lacks = need.join(observed.select("sheet_id", "field").distinct(), ["sheet_id", "field"], "left_anti").groupBy("sheet_id").agg(F.count("*").alias("missing"))
-    j = m.join(lacks, "sheet_id", "left")
-    n = F.coalesce("missing", F.lit(0))
-    status = F.when(F.col("hidden"), "hidden").when(F.col("role").isNull(), "unmatched").when(F.col("contents") > 1, "collision").when(n > 0, "incomplete").otherwise("selected")
-    return j.select("sheet_id", "role", n.cast("long").alias("missing"), status.alias("status"))
+def select_tabs(sheets: DataFrame, policy: DataFrame, observed: DataFrame, support: tuple[str, ...] = ()) -> DataFrame:
+    """sheets(sheet_id, name, hidden, content_hash, lineage, traits array), policy(position, pattern, role, required array,
+    requirement), observed(sheet_id, field) -> (sheet_id, role, missing, unmet, status).
+
+    Hidden sheets are out before names are compared. Sheets of one name (without regard to case and runs of spaces) must have
+    one content and lineage: then the smallest sheet_id is admitted and the others are duplicates, else all are in collision.
+    An admitted sheet takes the first rule by position whose pattern its name matches and whose requirement, if any, is among
+    its traits; ``unmet`` counts matching rules whose requirement is not, ``missing`` the rule's fields that the sheet lacks.
+    A sheet that no rule selects is a support tab if its exact name is in ``support``. A null hidden counts as visible.
+    ``policy`` is a policy table: each pattern is tried on each admitted name."""
+    out = F.coalesce("hidden", F.lit(False))
+    s = sheets.withColumn("key", normalize_identity(F.coalesce("name", F.lit(""))))
+    seen = s.filter(~out).groupBy("key").agg(F.count_distinct(F.struct("content_hash", "lineage")).alias("contents"), F.min("sheet_id").alias("first"))
+    s = s.join(seen, "key", "left")
+    state = F.when(out, "hidden").when(F.col("contents") > 1, "collision").when(F.col("sheet_id") != F.col("first"), "duplicate")
+    s = s.withColumn("state", state)
+    m = s.filter("state is null").join(policy_table(policy), tab_matches(F.col("name"), F.col("pattern")), "left")
+    fits = F.col("requirement").isNull() | F.array_contains(F.transform(F.coalesce("traits", F.array()), normalize_identity), normalize_identity(F.col("requirement")))
+    hit, fits = F.col("pattern").isNotNull(), F.coalesce(fits, F.lit(False))
+    m = m.groupBy("sheet_id").agg(F.min_by(F.struct("role", "required"), F.when(hit & fits, F.struct("position", "pattern"))).alias("rule"), F.count_if(hit & ~fits).alias("unmet"))
+    need = m.select("sheet_id", F.explode("rule.required").alias("f")).select("sheet_id", normalize_identity(F.col("f")).alias("f"))
+    lacks = need.join(observed.select("sheet_id", normalize_identity(F.col("field")).alias("f")).distinct(), ["sheet_id", "f"], "left_anti").groupBy("sheet_id").agg(F.count("*").alias("missing"))
+    j = s.select("sheet_id", "name", "state").join(m, "sheet_id", "left").join(lacks, "sheet_id", "left").fillna(0, ["missing", "unmet"])
+    picked = F.col("rule").isNotNull() & (F.col("missing") == 0)
+    kept = F.coalesce(F.col("name").isin(*support), F.lit(False)) if support else F.lit(False)
+    status = F.coalesce("state", F.when(picked, "selected").when(kept, "support").when(F.col("missing") > 0, "incomplete").when(F.col("unmet") > 0, "requirement").otherwise("unmatched"))
+    role = F.when(F.col("state").isNull(), F.when(picked | ~kept, F.col("rule.role")).otherwise("support"))
+    return j.select("sheet_id", role.alias("role"), "missing", "unmet", status.alias("status"))
 
 
 def resolve_dependencies(refs: DataFrame, cells: DataFrame) -> DataFrame:

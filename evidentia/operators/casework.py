@@ -66,14 +66,25 @@ def reuse_approval(sources: DataFrame, duplicates: DataFrame) -> DataFrame:
 
 
 def catalog_sections(outcomes: DataFrame) -> DataFrame:
-    """outcomes(artifact_id, receipt_id, screened, decision, role, parents, extracted) -> per artifact its canonical
-    receipt (the smallest) and its section: excludedQuarantined where screening blocks or a decision quarantines it,
-    referenceOnly for training and other sources, else caseEvidence. What cannot be verified is an issue and has no
-    section: no screening outcome, no role, or not exactly one parent of an extracted member."""
-    a = outcomes.groupBy("artifact_id").agg(F.min("receipt_id").alias("receipt_id"), *(F.max(c).alias(c) for c in ("screened", "decision", "role", "parents", "extracted")))
-    issue = F.when(F.col("screened").isNull(), "UNSCREENED").when(F.col("role").isNull(), "NO_ROLE").when(F.col("extracted") & (F.coalesce("parents", F.lit(0)) != 1), "CONTAINMENT")
-    bad = (F.col("screened") == "safety-block") & ~(F.coalesce("decision", F.lit("")) == "released") | F.coalesce("decision", F.lit("")).isin("final-quarantine", "rejected")
-    section = F.when(bad, "excludedQuarantined").when(F.col("role").isin("training-reference", "other"), "referenceOnly").otherwise("caseEvidence")
+    """outcomes(artifact_id, receipt_id, screened, decision, position, role, parents, extracted) -> per artifact its canonical
+    receipt (the smallest), its section and its issue.
+
+    The decision in force is the one of the highest position. Without a screening outcome there is the issue UNSCREENED, without
+    a decision or with any but those named here UNDECIDED. A final quarantine, a rejection and a revocation make it
+    excludedQuarantined, whatever else it lacks. Released and eligible ones need a role (NO_ROLE), the same one in each outcome
+    (ROLE_CONFLICT), and, if extracted, exactly one parent (CONTAINMENT); training and other sources are referenceOnly, all
+    else caseEvidence. What has an issue has no section."""
+    a = outcomes.groupBy("artifact_id").agg(
+        F.min("receipt_id").alias("receipt_id"), *(F.max(c).alias(c) for c in ("screened", "role", "parents", "extracted")), F.min("role").alias("role2"),
+        F.max_by("decision", F.when(F.col("decision").isNotNull(), F.struct("position", "decision"))).alias("decision"),
+    )
+    d = F.coalesce("decision", F.lit(""))
+    out = d.isin("final-quarantine", "rejected", "revoked")
+    issue = (
+        F.when(F.col("screened").isNull(), "UNSCREENED").when(out, None).when(~d.isin("released", "eligible"), "UNDECIDED").when(F.col("role").isNull(), "NO_ROLE")
+        .when(F.col("role") != F.col("role2"), "ROLE_CONFLICT").when(F.col("extracted") & (F.coalesce("parents", F.lit(0)) != 1), "CONTAINMENT")
+    )
+    section = F.when(out, "excludedQuarantined").when(F.col("role").isin("training-reference", "other"), "referenceOnly").otherwise("caseEvidence")
     return a.select("artifact_id", "receipt_id", F.when(issue.isNull(), section).alias("section"), issue.alias("issue"))
 
 

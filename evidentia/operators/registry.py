@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cell_coords, coverage_score, numeric_similarity, parse_evidence_date
+from .tables import policy
 
 #: What shared fields, runs and tabs, and like numbers of cells and formulas weigh, and the highest score.
 WEIGHTS, CELLS, FORMULAS, HIGHEST = {"field": 6500.0, "run": 1500.0, "tab": 1000.0}, 700.0, 300.0, 10_000
@@ -64,17 +65,31 @@ def reference_index(cells: DataFrame) -> DataFrame:
 
 
 def weighted_matches(profile: DataFrame, refs: DataFrame, profile_sizes: DataFrame, ref_sizes: DataFrame, k: int = 5) -> DataFrame:
-    """profile(doc_id, kind, item), refs(ref_id, kind, item), sizes (id, cells, formulas) -> the ``k`` references that
-    share most: the share of a profile's fields, runs and tabs that a reference has, weighted, and how near the numbers of
-    cells and formulas are. References that share nothing have no row; ties by more shared items, then the id."""
+    """profile(doc_id, kind, item), refs(ref_id, kind, item), sizes (id, cells, formulas), those of references with a
+    file_name -> the ``k`` best references of each document of ``profile_sizes``, also such as share nothing with it: the share
+    of its fields, runs and tabs that a reference has, weighted, and how near the numbers of cells and formulas are. Ties by
+    more shared fields, runs, tabs, then fewer cells, the file name, the id. A null number is near to none.
+
+    References that share an item come by a join on items. Of those that share none only the ``k`` nearest in size can be
+    among the best, since a sharing one is never behind another of the same nearness: they are found once for each distinct
+    pair of sizes, ``ref_sizes`` being a policy table."""
     p, r = profile.distinct(), refs.distinct()
+    shared = [f"m_{x}" for x in WEIGHTS]
     total = p.groupBy("doc_id").agg(*(F.count_if(F.col("kind") == x).alias(f"n_{x}") for x in WEIGHTS))
-    m = p.join(r, ["kind", "item"]).groupBy("doc_id", "ref_id").agg(F.count("*").alias("shared"), *(F.count_if(F.col("kind") == x).alias(f"m_{x}") for x in WEIGHTS))
-    m = m.join(total, "doc_id").join(profile_sizes.select("doc_id", F.col("cells").alias("pc"), F.col("formulas").alias("pf")), "doc_id").join(ref_sizes, "ref_id")
-    parts = [coverage_score(F.col(f"m_{x}"), F.col(f"n_{x}"), w) for x, w in WEIGHTS.items()]
-    parts += [numeric_similarity(F.col("pc"), F.col("cells"), CELLS), numeric_similarity(F.col("pf"), F.col("formulas"), FORMULAS)]
-    score = F.least(F.lit(HIGHEST).cast("long"), sum(parts, F.lit(0).cast("long")))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), F.desc("shared"), "ref_id"))
+    m = p.join(r, ["kind", "item"]).groupBy("doc_id", "ref_id").agg(*(F.count_if(F.col("kind") == x).alias(f"m_{x}") for x in WEIGHTS))
+    docs = profile_sizes.select("doc_id", F.col("cells").alias("pc"), F.col("formulas").alias("pf"))
+    none = F.lit(0).cast("long")
+    near = F.coalesce(numeric_similarity(F.col("pc"), F.col("cells"), CELLS), none) + F.coalesce(numeric_similarity(F.col("pf"), F.col("formulas"), FORMULAS), none)
+    last = ["cells", "file_name", "ref_id"]
+    sized = docs.select("pc", "pf").distinct().crossJoin(policy(ref_sizes)).withColumn("near", near)
+    sized = sized.withColumn("r", F.row_number().over(Window.partitionBy("pc", "pf").orderBy(F.desc("near"), *last))).filter(F.col("r") <= k)
+    sized = sized.select(F.col("pc").alias("qc"), F.col("pf").alias("qf"), "ref_id")
+    alike = docs.join(sized, F.col("pc").eqNullSafe(F.col("qc")) & F.col("pf").eqNullSafe(F.col("qf"))).select("doc_id", "ref_id", *(none.alias(c) for c in shared))
+    m = m.unionByName(alike).groupBy("doc_id", "ref_id").agg(*(F.max(c).alias(c) for c in shared))
+    m = m.join(docs, "doc_id").join(ref_sizes, "ref_id").join(total, "doc_id", "left")
+    parts = [coverage_score(F.col(f"m_{x}"), F.coalesce(f"n_{x}", none), w) for x, w in WEIGHTS.items()]
+    score = F.least(F.lit(HIGHEST).cast("long"), sum(parts, near))
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), *(F.desc(c) for c in shared), *last))
     return m.withColumn("score", score).withColumn("rank", rank).filter(F.col("rank") <= k).select("doc_id", "rank", "ref_id", "score")
 
 

@@ -9,11 +9,9 @@ from ..functions.scalars import classify_raw_value, within_tolerance
 
 
 def policy(table: DataFrame, most: int = 10_000) -> DataFrame:
-    """A policy table to broadcast: raises where it has more than ``most`` rows, as a join on patterns would then be the
-    wrong plan."""
-    if table.limit(most + 1).count() > most:
-        raise ValueError(f"a policy table of more than {most} rows")
-    return F.broadcast(table)
+    """A policy table, to be broadcast if it has no more than ``most`` rows. A larger one comes back as it is: its join gives
+    the same rows by whatever plan Spark takes for its size."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
 
 
 def duplicate_keys(df: DataFrame, *keys: str) -> DataFrame:

@@ -46,19 +46,21 @@ def reuse_approval(t):
     return W.reuse_approval(p.filter("id % 2 = 0"), p.filter("id % 2 = 1"))
 
 
-_OUT = """o AS (SELECT l_orderkey AS a, min(l_suppkey) AS receipt_id, max(CASE WHEN l_orderkey % 11 <> 0 THEN CASE WHEN l_returnflag = 'R' THEN 'safety-block' ELSE 'pass' END END) AS screened,
-max(CASE l_orderkey % 5 WHEN 0 THEN 'released' WHEN 1 THEN 'rejected' END) AS decision, max(CASE l_orderkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 'other' WHEN 2 THEN 'training-reference' ELSE 'amendment' END) AS role, max(l_linenumber) AS parents, bool_or(l_orderkey % 3 = 0) AS extracted FROM lineitem GROUP BY 1)"""
+_OUT = """r AS (SELECT l_orderkey AS a, l_suppkey AS receipt, l_linenumber AS n, CASE WHEN l_orderkey % 11 <> 0 THEN CASE WHEN l_returnflag = 'R' THEN 'safety-block' ELSE 'pass' END END AS screened,
+CASE WHEN l_orderkey % 13 <> 0 THEN CASE (l_orderkey + l_linenumber) % 7 WHEN 0 THEN 'released' WHEN 1 THEN 'rejected' WHEN 2 THEN 'eligible' WHEN 3 THEN 'revoked' WHEN 4 THEN 'final-quarantine' WHEN 5 THEN 'pending' END END AS decision,
+CASE l_orderkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 'other' WHEN 2 THEN 'training-reference' WHEN 3 THEN 'role' || l_linenumber ELSE 'amendment' END AS role FROM lineitem),
+o AS (SELECT a, min(receipt) AS receipt_id, max(screened) AS screened, arg_max(decision, n) FILTER (decision IS NOT NULL) AS d, min(role) AS role, count(DISTINCT role) AS roles, max(n) AS parents, a % 3 = 0 AS extracted FROM r GROUP BY a)"""
 
 
-@query(f"""WITH {_OUT}, i AS (SELECT *, CASE WHEN screened IS NULL THEN 'UNSCREENED' WHEN role IS NULL THEN 'NO_ROLE' WHEN extracted AND parents <> 1 THEN 'CONTAINMENT' END AS issue FROM o)
-SELECT a AS artifact_id, receipt_id, CASE WHEN issue IS NOT NULL THEN NULL WHEN (screened = 'safety-block' AND coalesce(decision, '') <> 'released') OR decision = 'rejected' THEN 'excludedQuarantined'
-WHEN role IN ('training-reference', 'other') THEN 'referenceOnly' ELSE 'caseEvidence' END AS section, issue FROM i""")
+@query(f"""WITH {_OUT}, i AS (SELECT *, coalesce(d IN ('rejected', 'revoked', 'final-quarantine'), false) AS gone FROM o), j AS (SELECT *, CASE WHEN screened IS NULL THEN 'UNSCREENED' WHEN gone THEN NULL WHEN d IS NULL OR d = 'pending' THEN 'UNDECIDED' WHEN role IS NULL THEN 'NO_ROLE' WHEN roles > 1 THEN 'ROLE_CONFLICT' WHEN extracted AND parents <> 1 THEN 'CONTAINMENT' END AS issue FROM i)
+SELECT a AS artifact_id, receipt_id, CASE WHEN issue IS NOT NULL THEN NULL WHEN gone THEN 'excludedQuarantined' WHEN role IN ('training-reference', 'other') THEN 'referenceOnly' ELSE 'caseEvidence' END AS section, issue FROM j""")
 def catalog_sections(t):
-    k = F.col("l_orderkey")
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    d = F.element_at(F.array(*(F.lit(x) for x in ("released", "rejected", "eligible", "revoked", "final-quarantine", "pending", None))), ((k + n) % 7 + 1).cast("int"))
+    role = F.when(k % 7 == 0, None).when(k % 7 == 1, "other").when(k % 7 == 2, "training-reference").when(k % 7 == 3, F.concat(F.lit("role"), n.cast("string"))).otherwise("amendment")
     return W.catalog_sections(t("lineitem").select(
         k.alias("artifact_id"), F.col("l_suppkey").alias("receipt_id"), F.when(k % 11 != 0, F.when(F.col("l_returnflag") == "R", "safety-block").otherwise("pass")).alias("screened"),
-        F.when(k % 5 == 0, "released").when(k % 5 == 1, "rejected").alias("decision"), F.when(k % 7 == 0, None).when(k % 7 == 1, "other").when(k % 7 == 2, "training-reference").otherwise("amendment").alias("role"),
-        F.col("l_linenumber").alias("parents"), (k % 3 == 0).alias("extracted"),
+        F.when(k % 13 != 0, d).alias("decision"), n.alias("position"), role.alias("role"), n.alias("parents"), (k % 3 == 0).alias("extracted"),
     ))
 
 

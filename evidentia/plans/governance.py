@@ -152,15 +152,28 @@ def cell_mappings(t):
     return A.cell_mappings(cells, x, tabs)
 
 
-@query("""WITH s AS (SELECT p_partkey AS id, lower(p_type) AS n, p_size % 10 = 0 AS hidden, p_brand AS h FROM part), k AS (SELECT n, count(DISTINCT h) AS c FROM s GROUP BY 1), p AS (SELECT unnest(['*steel', 'economy', 'promo*brass']) AS pat, unnest(['metal', 'cheap', 'offer']) AS role, unnest([['a', 'b'], ['a'], []]) AS req),
-m AS (SELECT id, n, hidden, min(pat) AS pat FROM s LEFT JOIN p ON CASE WHEN contains(pat, '*') THEN regexp_matches(n, '^' || replace(pat, '*', '.*') || '$') ELSE contains(n, pat) END GROUP BY ALL),
-j AS (SELECT id, n, hidden, role, len(list_filter(coalesce(req, []), lambda x: NOT (x = 'a' AND id % 2 = 0) AND NOT (x = 'b' AND id % 3 = 0))) AS missing FROM m LEFT JOIN p USING (pat))
-SELECT id AS sheet_id, role, missing::BIGINT AS missing, CASE WHEN hidden THEN 'hidden' WHEN role IS NULL THEN 'unmatched' WHEN c > 1 THEN 'collision' WHEN missing > 0 THEN 'incomplete' ELSE 'selected' END AS status FROM j JOIN k USING (n)""")
+_SHEETS = ("Steel Tab", "economy (a*)", "Promo brass", "Notes", "copper", "Tin Tab")
+
+
+@query(rf"""WITH s AS (SELECT p_partkey AS id, p_partkey // 2 AS g, (list_value({", ".join(f"'{n}'" for n in _SHEETS)}))[g % 6 + 1] || CASE WHEN p_partkey % 4 = 1 THEN '  ' ELSE ' ' END || g AS name, p_size % 10 = 0 AS hidden, CASE WHEN g % 3 = 0 THEN 'same' ELSE p_brand END AS h, CASE WHEN g % 9 = 0 THEN p_brand ELSE 'x' END AS l, 't' || p_size % 3 AS trait FROM part),
+k AS (SELECT *, lower(trim(regexp_replace(name, '\s+', ' ', 'g'))) AS n FROM s), v AS (SELECT n, count(DISTINCT h || '|' || l) AS c, min(id) AS first FROM k WHERE NOT hidden GROUP BY 1),
+a AS (SELECT k.*, CASE WHEN hidden THEN 'hidden' WHEN c > 1 THEN 'collision' WHEN id <> first THEN 'duplicate' END AS state FROM k LEFT JOIN v USING (n)),
+p AS (SELECT unnest([1, 2, 3, 4, 5]) AS pos, unnest(['^steel.*$', '^.*tab.*$', '^economy \(a.*$', 'promo', '^copper.*$']) AS pat, unnest(['metal', 'any', 'cheap', 'offer', 'wire']) AS role, unnest([['A', 'b'], ['a'], ['a'], [], ['zz']]) AS req, unnest([NULL, 'T1', NULL, 't2', NULL]) AS need),
+m AS (SELECT id, pos, role, req, need IS NULL OR lower(need) = trait AS fits FROM a JOIN p ON regexp_matches(lower(name), pat) WHERE state IS NULL),
+r AS (SELECT id, arg_min(role, pos) FILTER (fits) AS role, arg_min(req, pos) FILTER (fits) AS req, count(*) FILTER (NOT fits) AS unmet FROM m GROUP BY 1),
+j AS (SELECT id, name, state, role, coalesce(unmet, 0) AS unmet, coalesce(len(list_filter(coalesce(req, []), lambda x: NOT (lower(x) = 'a' AND id % 2 = 0) AND NOT (x = 'b' AND id % 3 = 0))), 0) AS missing FROM a LEFT JOIN r USING (id))
+SELECT id AS sheet_id, CASE WHEN state IS NULL THEN CASE WHEN (role IS NOT NULL AND missing = 0) OR name NOT IN ('Notes 3', 'Notes 9', 'Notes 15', 'copper 4', 'copper 10') THEN role ELSE 'support' END END AS role, missing::BIGINT AS missing, unmet::BIGINT AS unmet,
+coalesce(state, CASE WHEN role IS NOT NULL AND missing = 0 THEN 'selected' WHEN name IN ('Notes 3', 'Notes 9', 'Notes 15', 'copper 4', 'copper 10') THEN 'support' WHEN missing > 0 THEN 'incomplete' WHEN unmet > 0 THEN 'requirement' ELSE 'unmatched' END) AS status FROM j""")
 def select_tabs(t):
-    p = t("part").select(F.col("p_partkey").alias("sheet_id"), F.col("p_type").alias("name"), (F.col("p_size") % 10 == 0).alias("hidden"), F.col("p_brand").alias("content_hash"))
-    rows = F.array(*(F.struct(F.lit(a).alias("pattern"), F.lit(r).alias("role"), F.array(*(F.lit(x) for x in q)).cast("array<string>").alias("required")) for a, r, q in (("*STEEL", "metal", "ab"), ("economy", "cheap", "a"), ("promo*brass", "offer", ""))))
-    have = F.array_compact(F.array(F.when(F.col("sheet_id") % 2 == 0, "a"), F.when(F.col("sheet_id") % 3 == 0, "b")))
-    return A.select_tabs(p, p.sparkSession.range(1).select(F.inline(rows)), p.select("sheet_id", F.explode(have).alias("field")))
+    k = F.col("p_partkey")
+    g = F.floor(k / 2)
+    name = F.concat(F.element_at(F.array(*(F.lit(n) for n in _SHEETS)), (g % 6 + 1).cast("int")), F.when(k % 4 == 1, "  ").otherwise(" "), g.cast("string"))
+    p = t("part").select(k.alias("sheet_id"), name.alias("name"), (F.col("p_size") % 10 == 0).alias("hidden"), F.when(g % 3 == 0, "same").otherwise(F.col("p_brand")).alias("content_hash"), F.when(g % 9 == 0, F.col("p_brand")).otherwise("x").alias("lineage"), F.array(F.concat(F.lit("T"), (F.col("p_size") % 3).cast("string"))).alias("traits"))
+    rules = ((1, "Steel*", "metal", "Ab", None), (2, "*tab*", "any", "a", "T1"), (3, "economy (a*", "cheap", "a", None), (4, "promo", "offer", "", "t2"), (5, "copper*", "wire", ("zz",), None))
+    rows = F.array(*(F.struct(F.lit(i).alias("position"), F.lit(a).alias("pattern"), F.lit(r).alias("role"), F.array(*(F.lit(x) for x in q)).cast("array<string>").alias("required"), F.lit(n).cast("string").alias("requirement")) for i, a, r, q, n in rules))
+    have = F.array_compact(F.array(F.when(k % 2 == 0, "a"), F.when(k % 3 == 0, "b")))
+    seen = t("part").select(k.alias("sheet_id"), F.explode(have).alias("field"))
+    return A.select_tabs(p, p.sparkSession.range(1).select(F.inline(rows)), seen, ("Notes 3", "Notes 9", "Notes 15", "copper 4", "copper 10"))
 
 
 @query("""WITH c AS (SELECT p_partkey AS id, upper(p_brand) AS s, 'A' || p_partkey AS a FROM part), r AS (SELECT l_orderkey AS cell_id, CASE WHEN l_linenumber = 3 THEN '[x]' ELSE '' END || (SELECT p_brand FROM part WHERE p_partkey = l_partkey) AS s, CASE WHEN l_linenumber = 2 THEN 'A0' WHEN l_suppkey % 4 = 0 THEN 'A' || (l_partkey + 1) ELSE 'A' || l_partkey END AS a FROM lineitem)

@@ -52,10 +52,11 @@ def reference_index(t):
 
 @query("""WITH p AS (SELECT DISTINCT o_custkey AS d, unnest(['field', 'run', 'tab']) AS kind, unnest([o_orderpriority, o_orderstatus, strftime(o_orderdate::DATE, '%Y')]) AS item FROM orders WHERE o_orderkey % 3 = 0), r AS (SELECT DISTINCT c_custkey % 12 AS ref_id, unnest(['field', 'run', 'tab']) AS kind, unnest([o_orderpriority, o_orderstatus, strftime(o_orderdate::DATE, '%Y')]) AS item FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 31 < 2),
 n AS (SELECT d, count(*) FILTER (kind = 'field') AS f, count(*) FILTER (kind = 'run') AS r, count(*) FILTER (kind = 'tab') AS t FROM p GROUP BY 1), ps AS (SELECT o_custkey AS d, count(*) AS pc, count(*) FILTER (o_orderstatus = 'F') AS pf FROM orders GROUP BY 1), rs AS (SELECT o_custkey % 12 AS ref_id, count(*) // 12 AS c, count(*) FILTER (o_orderstatus = 'F') // 12 AS g FROM orders GROUP BY 1),
-m AS (SELECT d, ref_id, count(*) AS shared, count(*) FILTER (kind = 'field') AS mf, count(*) FILTER (kind = 'run') AS mr, count(*) FILTER (kind = 'tab') AS mt FROM p JOIN r USING (kind, item) GROUP BY ALL),
-s AS (SELECT d, ref_id, shared, least(10000, CASE WHEN f > 0 THEN floor(mf / f * 6500.0 + 0.5) ELSE 0 END + CASE WHEN r > 0 THEN floor(mr / r * 1500.0 + 0.5) ELSE 0 END + CASE WHEN t > 0 THEN floor(mt / t * 1000.0 + 0.5) ELSE 0 END
-+ CASE WHEN greatest(pc, c) > 0 THEN floor(greatest(0.0::DOUBLE, 1 - abs(pc - c) / greatest(pc, c)) * 700.0::DOUBLE + 0.5) ELSE 0 END + CASE WHEN greatest(pf, g) > 0 THEN floor(greatest(0.0::DOUBLE, 1 - abs(pf - g) / greatest(pf, g)) * 300.0::DOUBLE + 0.5) ELSE 0 END)::BIGINT AS score FROM m JOIN n USING (d) JOIN ps USING (d) JOIN rs USING (ref_id)),
-k AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY score DESC, shared DESC, ref_id) AS rank FROM s) SELECT d AS doc_id, rank, ref_id, score FROM k WHERE rank <= 5""")
+m AS (SELECT d, ref_id, count(*) FILTER (kind = 'field') AS mf, count(*) FILTER (kind = 'run') AS mr, count(*) FILTER (kind = 'tab') AS mt FROM p JOIN r USING (kind, item) GROUP BY ALL),
+e AS (SELECT d, ref_id, pc, pf, c, g, coalesce(f, 0) AS f, coalesce(n.r, 0) AS r, coalesce(t, 0) AS t, coalesce(mf, 0) AS mf, coalesce(mr, 0) AS mr, coalesce(mt, 0) AS mt FROM ps CROSS JOIN rs LEFT JOIN n USING (d) LEFT JOIN m USING (d, ref_id)),
+s AS (SELECT *, least(10000, CASE WHEN f > 0 THEN floor(mf / f * 6500.0 + 0.5) ELSE 0 END + CASE WHEN r > 0 THEN floor(mr / r * 1500.0 + 0.5) ELSE 0 END + CASE WHEN t > 0 THEN floor(mt / t * 1000.0 + 0.5) ELSE 0 END
++ CASE WHEN greatest(pc, c) > 0 THEN floor(greatest(0.0::DOUBLE, 1 - abs(pc - c) / greatest(pc, c)) * 700.0::DOUBLE + 0.5) ELSE 0 END + CASE WHEN greatest(pf, g) > 0 THEN floor(greatest(0.0::DOUBLE, 1 - abs(pf - g) / greatest(pf, g)) * 300.0::DOUBLE + 0.5) ELSE 0 END)::BIGINT AS score FROM e),
+k AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY score DESC, mf DESC, mr DESC, mt DESC, c, 'ref' || ref_id % 5, ref_id) AS rank FROM s) SELECT d AS doc_id, rank, ref_id, score FROM k WHERE rank <= 5""")
 def weighted_matches(t):
     o = t("orders")
     items = F.create_map(F.lit("field"), "o_orderpriority", F.lit("run"), "o_orderstatus", F.lit("tab"), F.date_format("o_orderdate", "yyyy"))
@@ -63,7 +64,7 @@ def weighted_matches(t):
     known = o.join(t("customer").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi")
     size = lambda key, n: o.groupBy(key).agg(F.floor(F.count("*") / n).alias("cells"), F.floor(F.count_if(F.col("o_orderstatus") == "F") / n).alias("formulas"))
     doc = F.col("o_custkey").alias("doc_id")
-    return Y.weighted_matches(o.filter("o_orderkey % 3 = 0").select(doc, F.explode(items).alias("kind", "item")), known.filter("o_orderkey % 31 < 2").select(ref, F.explode(items).alias("kind", "item")), size(doc, 1), size(ref, 12))
+    return Y.weighted_matches(o.filter("o_orderkey % 3 = 0").select(doc, F.explode(items).alias("kind", "item")), known.filter("o_orderkey % 31 < 2").select(ref, F.explode(items).alias("kind", "item")), size(doc, 1), size(ref, 12).withColumn("file_name", F.concat(F.lit("ref"), (F.col("ref_id") % 5).cast("string"))))
 
 
 @query("""WITH f AS (SELECT p_partkey AS id, p_partkey % 60 AS prop, p_partkey % 9 AS pos, p_partkey % 4 = 3 AS badp, p_partkey % 5 = 0 AS none, p_partkey % 6 AS c, p_partkey % 170 AS target FROM part), s AS (SELECT target, count(*) AS n FROM f GROUP BY 1)
