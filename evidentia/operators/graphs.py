@@ -12,25 +12,30 @@ import tempfile
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 _OWN: dict[str, str] = {}
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, in no more partitions than a shuffle has: unions would add theirs up
-    from round to round. A table, unlike a checkpoint, hands on no constraints of the plan that made it; those double
-    with every join, so that planning the twentieth round of a loop would take minutes."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that ``spark.checkpoint.dir`` names; of a local session's own where it names none."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not at:
         if not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         at = _OWN.setdefault(sc.applicationId, "file://" + tempfile.mkdtemp(prefix="spark-"))
-    path = f"{at.rstrip('/')}/round-{uuid.uuid4().hex}"
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, in no more partitions than a shuffle has: unions would add theirs up
+    from round to round. A table, unlike a checkpoint, hands on no constraints of the plan that made it; those double
+    with every join, so that planning the twentieth round of a loop would take minutes."""
+    spark = df.sparkSession
+    path = shared_path(spark, "round")
     df.coalesce(int(spark.conf.get("spark.sql.shuffle.partitions"))).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
