@@ -100,7 +100,9 @@ def audit_chain(log: DataFrame, wait_ms: int = 600_000) -> DataFrame:
 
     Positions count the entries of a subject from 1 and are never null. An entry that comes before an earlier position waits
     for it, for ``wait_ms`` of processing time at most; then all that wait are judged in their order, as if the missing ones
-    did not exist. An entry at or before a position judged already is judged on arrival, after that one. State is one row a
+    did not exist. Timers are looked at in each batch: a query that runs on until stopped has batches without data for them, a
+    run over what is available must set ``spark.sql.streaming.noDataMicroBatches.enabled`` to false, as it would not end, and
+    looks at them in its next batch with data. An entry at or before a position judged already is judged on arrival, after that one. State is one row a
     subject and the entries that wait.
     """
     return log.groupBy("subject").transformWithStateInPandas(
