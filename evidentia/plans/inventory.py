@@ -1,4 +1,4 @@
-"""Registered queries of the field inventory and of the committed log."""
+"""Registered queries of the field inventory, the committed log and mock populations."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import inventory as V
 from ..operators.graphs import shared_path
 from ..sources import appends as A
+from ..sources import populations as P
 from .casework import _pick
 from .catalog import query
 
@@ -62,3 +63,18 @@ def committed_log(t):
     if got != ["committed", "committed", "repeated", "refused"]:
         raise ValueError(f"the appends ended as {got}")
     return A.read_log(spark, path).select("record_id", "prior_id", "status", "commit_number")
+
+
+def _state(column: int, fields: int, seed: int, bits: int = 43) -> str:
+    """The generator's state in DuckDB's 128-bit integers."""
+    step, s, a, c = f"(o_orderkey * {fields} + {column + 1})", f"{seed}::HUGEINT", 1_664_525, 1_013_904_223
+    for i in range(bits):
+        s = f"({s} * CASE WHEN ({step} >> {i}) & 1 = 1 THEN {a} ELSE 1 END + CASE WHEN ({step} >> {i}) & 1 = 1 THEN {c} ELSE 0 END) % 4294967296"
+        a, c = a * a % (1 << 32), (a * c + c) % (1 << 32)
+    return s
+
+
+@query(f"""SELECT o_orderkey AS "row", 'MOCK-' || CASE WHEN o_orderkey < 999999 THEN lpad((o_orderkey + 1)::VARCHAR, 6, '0') ELSE (o_orderkey + 1)::VARCHAR END AS order_key, '19' || (40 + (o_orderkey + 1) % 50) || '-01-01' AS hire_date,
+floor(({_state(2, 4, 7)})::DOUBLE / 4294967296 * 10000) / 100 AS service_hours, 'synthetic-4-' || floor(({_state(3, 4, 7)})::DOUBLE / 4294967296 * 1000000)::BIGINT AS status FROM orders""")
+def mock_population(t):
+    return P.mock_population(t("orders").select(F.col("o_orderkey").alias("row")), ["order_key", "hire_date", "service_hours", "status"], 7)
