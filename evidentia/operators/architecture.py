@@ -104,6 +104,30 @@ def query_authority(rules: DataFrame, sources: DataFrame, day: Column) -> DataFr
     return j.select("rule_id", "role", F.when(over, "superseded").otherwise("current").alias("supersession"), issue.alias("issue"))
 
 
+def override_issues(overrides: DataFrame, catalog: DataFrame, hashed: tuple[str, ...]) -> DataFrame:
+    """overrides(override_id, case_id, scope, sha256, role, issued_at, prior_id, prior_hash, content_hash), catalog(case_id, sha256,
+    role, review_status) of evidence and references -> issues(override_id, issue) of the set, any of which makes it unfit:
+    an id that is not alone (DUPLICATE_ID), a hash that is not that of the ``hashed`` columns (HASH), an artifact that the
+    case's catalog does not hold exactly once, released and in the role (ARTIFACT), a prior that is not there or of another
+    hash, case or scope, or not older (LINK), and a prior with several successors (BRANCH, once, under the prior's id).
+    A null prior_id has no prior. Null ids are one id."""
+    o = overrides.withColumn("_own", F.sha2(F.to_json(F.struct(*hashed), {"ignoreNullFields": "false"}), 256))
+    c = catalog.groupBy("case_id", "sha256").agg(F.count("*").alias("_n"), F.min("role").alias("_role"), F.min("review_status").alias("_status"))
+    # of repeated ids the newest stands for the prior; the repeat itself is an issue anyway
+    heads = F.max_by(F.struct("content_hash", "case_id", "scope", "issued_at"), F.struct("issued_at", "content_hash"))
+    prior = overrides.filter("override_id is not null").groupBy(F.col("override_id").alias("prior_id")).agg(heads.alias("_prior"))
+    j = o.join(c, ["case_id", "sha256"], "left").join(prior, "prior_id", "left")
+    same = lambda a, b: F.coalesce(F.col(a) == F.col(b), F.lit(False))
+    bound = same("_prior.content_hash", "prior_hash") & same("_prior.case_id", "case_id") & same("_prior.scope", "scope") & F.coalesce(F.col("issued_at") > F.col("_prior.issued_at"), F.lit(False))
+    issues = F.array_compact(F.array(
+        F.when(~F.col("content_hash").eqNullSafe(F.col("_own")), "HASH"),
+        F.when(~(F.coalesce(F.col("_n") == 1, F.lit(False)) & same("_role", "role") & F.coalesce(F.col("_status") == "released", F.lit(False))), "ARTIFACT"),
+        F.when(F.col("prior_id").isNotNull() & ~bound, "LINK"),
+    ))
+    several = lambda key, issue: overrides.groupBy(F.col(key).alias("override_id")).agg(F.count("*").alias("n")).filter("n > 1").select("override_id", F.lit(issue).alias("issue"))
+    return j.select("override_id", F.explode(issues).alias("issue")).unionByName(several("override_id", "DUPLICATE_ID")).unionByName(several("prior_id", "BRANCH").filter("override_id is not null"))
+
+
 def effective_overrides(overrides: DataFrame, released: DataFrame) -> DataFrame:
     """overrides(override_id, prior_id, action, scope, sha256), released(sha256) -> those in force: ends of chains that do
     not branch, not repealed, and bound to a released artifact. A prior that is not there breaks a chain."""

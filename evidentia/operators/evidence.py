@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.checks import rule_shingles
 from ..functions.scalars import normalize_comparable_text, token_shingles
 
 
@@ -36,7 +39,7 @@ def exact_duplicate_relationships(artifacts: DataFrame) -> DataFrame:
 BLOCK = 256
 
 
-def near_duplicate_pairs(docs: DataFrame, threshold: float, width: int = 3) -> DataFrame:
+def near_duplicate_pairs(docs: DataFrame, threshold: float, width: int = 3, shingles: Callable[[Column], Column] | None = None, slack: float = 1e-9) -> DataFrame:
     """docs(artifact_id, text) -> (from_id, to_id, similarity): exact Jaccard of word shingles, between the first
     artifacts of each content; ``near_duplicate_members`` gives the copies of each back. Texts without a word are equal:
     each is linked to the first of them, not to all.
@@ -49,19 +52,19 @@ def near_duplicate_pairs(docs: DataFrame, threshold: float, width: int = 3) -> D
     d = docs.select("artifact_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"), text.alias("t"))
     d = d.groupBy("sha256").agg(F.min("artifact_id").alias("artifact_id"), F.min("t").alias("t"))
     # shingles go by 64-bit hashes from here on
-    sets = d.select("artifact_id", F.transform(token_shingles(F.col("t"), width), lambda g: F.xxhash64(g)).alias("s")).withColumn("n", F.size("s"))
+    sets = d.select("artifact_id", F.transform(shingles(F.col("t")) if shingles else token_shingles(F.col("t"), width), lambda g: F.xxhash64(g)).alias("s")).withColumn("n", F.size("s"))
     flat = sets.filter("n > 0").select("artifact_id", "n", F.explode("s").alias("g"))
     df = flat.groupBy("g").agg(F.count("*").alias("df"))
     rare = flat.join(df, "g").filter("df > 1 or n = 1")
     order = Window.partitionBy("artifact_id").orderBy("df", "g")
     # shingles of one document only come first in the order and join nothing: they use up prefix places
     alone = F.col("n") - F.count("*").over(Window.partitionBy("artifact_id"))
-    pre = rare.withColumns({"r": F.row_number().over(order), "alone": alone}).filter(F.col("r") + F.col("alone") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
+    pre = rare.withColumns({"r": F.row_number().over(order), "alone": alone}).filter(F.col("r") + F.col("alone") <= F.col("n") - F.ceil(F.col("n") * (threshold - slack)) + 1)
     blocks = pre.groupBy("g").agg(F.count("*").alias("docs")).filter("docs > 1").select("g", F.ceil(F.col("docs") / BLOCK).alias("blocks"))
     pre = pre.join(blocks, "g").withColumn("b", F.pmod(F.xxhash64("artifact_id"), "blocks"))
     a = pre.select("g", F.col("b").alias("i"), F.explode(F.sequence("b", F.col("blocks") - 1)).alias("j"), F.col("artifact_id").alias("x"), F.col("n").alias("na"))
     b = pre.select("g", F.explode(F.sequence(F.lit(0).cast("long"), "b")).alias("i"), F.col("b").alias("j"), F.col("artifact_id").alias("y"), F.col("n").alias("nb"))
-    met = a.join(b, ["g", "i", "j"]).filter(((F.col("i") < F.col("j")) | (F.col("x") < F.col("y"))) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9))
+    met = a.join(b, ["g", "i", "j"]).filter(((F.col("i") < F.col("j")) | (F.col("x") < F.col("y"))) & (F.least("na", "nb") >= F.greatest("na", "nb") * (threshold - slack)))
     pairs = met.select(F.least("x", "y").alias("from_id"), F.greatest("x", "y").alias("to_id")).distinct()
     x = pairs.join(sets.select(F.col("artifact_id").alias("from_id"), F.col("s").alias("x")), "from_id").join(sets.select(F.col("artifact_id").alias("to_id"), F.col("s").alias("y")), "to_id")
     both = F.size(F.array_intersect("x", "y"))
@@ -72,6 +75,14 @@ def near_duplicate_pairs(docs: DataFrame, threshold: float, width: int = 3) -> D
     return x.unionByName(wordless.join(first, "n").filter("from_id < artifact_id").select("from_id", F.col("artifact_id").alias("to_id"), F.lit(1.0).alias("similarity")))
 
 
+def near_duplicate_provisions(candidates: DataFrame, threshold: float = 0.72) -> DataFrame:
+    """candidates(candidate_id, restatement) -> (from_id, to_id, similarity): as ``near_duplicate_pairs``, by the shingles of
+    rules (ASCII words; the words themselves where there are fewer than three). The similarity is compared after rounding to
+    six places, so the filters let through what rounds up. Copies are given by ``near_duplicate_members``."""
+    docs = candidates.select(F.col("candidate_id").alias("artifact_id"), F.col("restatement").alias("text"))
+    return near_duplicate_pairs(docs, threshold, shingles=rule_shingles, slack=1e-6)
+
+
 def near_duplicate_members(docs: DataFrame) -> DataFrame:
     """docs(artifact_id, text) -> one row per artifact with the one that stands for its content in the pairs."""
     d = docs.select("artifact_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))

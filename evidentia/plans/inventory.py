@@ -1,9 +1,11 @@
-"""Registered queries of the field inventory, the committed log and mock populations."""
+"""Registered queries of the field inventory, the committed log, mock populations, overrides and provisions."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import architecture as R
+from ..operators import evidence as E
 from ..operators import inventory as V
 from ..operators.graphs import shared_path
 from ..sources import appends as A
@@ -78,3 +80,37 @@ def _state(column: int, fields: int, seed: int, bits: int = 43) -> str:
 floor(({_state(2, 4, 7)})::DOUBLE / 4294967296 * 10000) / 100 AS service_hours, 'synthetic-4-' || floor(({_state(3, 4, 7)})::DOUBLE / 4294967296 * 1000000)::BIGINT AS status FROM orders""")
 def mock_population(t):
     return P.mock_population(t("orders").select(F.col("o_orderkey").alias("row")), ["order_key", "hire_date", "service_hours", "status"], 7)
+
+
+@query("""WITH c AS (SELECT p_partkey AS id, 'The benefit of a ' || p_type || ' participant, under section ' || p_size || ' of the plan, is due at the date of termination for all years of service' AS t FROM part),
+d AS (SELECT t, min(id) AS id, list_filter(string_split(lower(regexp_replace(t, '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '') AS w FROM c GROUP BY 1), s AS (SELECT id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM d),
+j AS (SELECT a.id AS from_id, b.id AS to_id, len(list_intersect(a.s, b.s)) AS i, len(a.s) + len(b.s) AS n FROM s a JOIN s b ON a.id < b.id) SELECT from_id, to_id, round(i / (n - i), 6) AS similarity FROM j WHERE round(i / (n - i), 6) >= 0.72""")
+def near_duplicate_provisions(t):
+    text = F.concat(F.lit("The benefit of a "), "p_type", F.lit(" participant, under section "), F.col("p_size").cast("string"), F.lit(" of the plan, is due at the date of termination for all years of service"))
+    return E.near_duplicate_provisions(t("part").select(F.col("p_partkey").alias("candidate_id"), text.alias("restatement")))
+
+
+@query("""WITH o AS (SELECT o_orderkey - o_orderkey % 50 // 49 AS id, o_custkey % 3 AS c, o_orderkey // 4 % 7 AS scope, o_orderkey % 40 AS h, CASE WHEN o_orderkey % 8 = 1 THEN 'notice' ELSE 'regulation' END AS role, o_orderkey % 4 AS age, CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey - CASE WHEN o_orderkey % 12 = 6 THEN 2 WHEN o_orderkey % 36 = 1 THEN 0 ELSE 1 END END AS prior, o_orderkey % 11 = 5 AS stale, o_orderkey % 13 = 4 AS forged FROM orders),
+k AS (SELECT x AS c, y AS h, count(*) AS n FROM unnest([0, 1, 2]) AS a(x), unnest(range(0, 38)) AS b(y), unnest(range(0, 2)) AS r(z) WHERE z = 0 OR y = 7 GROUP BY ALL),
+heads AS (SELECT id, arg_max(struct_pack(c := c, scope := scope, age := age, forged := forged), [age::BIGINT, (CASE WHEN forged THEN 0 ELSE 1 END)::BIGINT]) AS p, count(*) AS n FROM o GROUP BY 1),
+j AS (SELECT o.*, k.n AS found, p FROM o LEFT JOIN k USING (c, h) LEFT JOIN heads ON heads.id = prior)
+SELECT id AS override_id, 'HASH' AS issue FROM o WHERE forged UNION ALL SELECT id, 'ARTIFACT' FROM j WHERE found IS NULL OR found <> 1 OR role <> 'regulation' OR h = 9
+UNION ALL SELECT id, 'LINK' FROM j WHERE prior IS NOT NULL AND NOT coalesce(NOT stale AND NOT p.forged AND p.c = c AND p.scope = scope AND age > p.age, false)
+UNION ALL SELECT id, 'DUPLICATE_ID' FROM heads WHERE n > 1 UNION ALL SELECT prior, 'BRANCH' FROM o WHERE prior IS NOT NULL GROUP BY prior HAVING count(*) > 1""")
+def override_issues(t):
+    k = F.col("o_orderkey")
+    prior = F.when(k % 4 > 0, k - F.when(k % 12 == 6, 2).when(k % 36 == 1, 0).otherwise(1))
+    o = t("orders").select(
+        (k - F.floor(k % 50 / 49)).alias("override_id"), (F.col("o_custkey") % 3).alias("case_id"), (F.floor(k / 4) % 7).alias("scope"), (k % 40).alias("sha256"), F.when(k % 8 == 1, "notice").otherwise("regulation").alias("role"), (k % 4).alias("issued_at"),
+        prior.alias("prior_id"), (k % 11 == 5).alias("stale"), (k % 13 == 4).alias("forged"),
+    )
+    own = lambda i, c, s, a: F.sha2(F.to_json(F.struct(i.cast("long").alias("override_id"), c.cast("long").alias("case_id"), s.cast("long").alias("scope"), a.cast("long").alias("issued_at"))), 256)
+    o = o.withColumns({n: F.col(n).cast("long") for n in ("override_id", "case_id", "scope", "issued_at", "prior_id")})
+    o = o.withColumn("content_hash", F.when(F.col("forged"), "0").otherwise(own(*(F.col(n) for n in ("override_id", "case_id", "scope", "issued_at")))))
+    # what the successor thinks its prior is: the newest of that id, whole
+    held = o.groupBy(F.col("override_id").alias("prior_id")).agg(F.max_by(F.struct("case_id", "scope", "issued_at", F.col("override_id").alias("id")), F.struct("issued_at", "content_hash")).alias("h"))
+    o = o.join(held, "prior_id", "left").withColumn("prior_hash", F.when(F.col("stale"), "1").otherwise(own(F.col("prior_id"), F.col("h.case_id"), F.col("h.scope"), F.col("h.issued_at")))).drop("h")
+    spark = o.sparkSession
+    held = spark.range(3).select(F.col("id").alias("case_id"), F.explode(F.concat(F.sequence(F.lit(0), F.lit(37)), F.array(F.lit(7)))).alias("sha256"))
+    held = held.withColumns({"role": F.lit("regulation"), "review_status": F.when(F.col("sha256") == 9, "held").otherwise("released")})
+    return R.override_issues(o, held, ("override_id", "case_id", "scope", "issued_at"))
