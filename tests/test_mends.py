@@ -117,3 +117,27 @@ def test_summaries_of_odd_nesting(spark, tmp_path):
     assert {(r.file, r.doc_id, r.position, r.item_id) for r in items.collect()} == {("good.json", "d", 0, "1"), ("good.json", "d", 1, "2"), ("good.json", "d", 2, "3"), ("odd.json", None, 0, None), ("odd.json", None, 1, " "), ("odd.json", None, 2, "7"), ("odd.json", None, 3, "7")}
     assert {(r.file, r.item_id, r.position, r.section, r.page_pdf, r.excerpt) for r in refs.collect()} == {("good.json", "1", 0, "§1", "3", None), ("good.json", "1", 1, None, None, ""), ("odd.json", "7", 0, None, None, None)}
     assert {tuple(r) for r in issues.collect()} == {("empty.json", None, "NO_ITEMS"), ("broken.json", None, "MALFORMED"), ("odd.json", 0, "NO_ID"), ("odd.json", 1, "NO_ID"), ("odd.json", 3, "DUPLICATE_ID")}
+
+
+def test_provisions(spark):
+    from evidentia.operators import evidence as E
+
+    long = "the plan pays a benefit of one percent of pay for each year of service"
+    rows = [(1, long), (2, long.upper() + "!"), (3, long + " now"), (4, "another text of many words that has nothing in common"), (5, "two words"), (6, "words TWO"), (7, "é"), (8, None), (9, long)]
+    got = {tuple(r) for r in E.near_duplicate_provisions(spark.createDataFrame(rows, "candidate_id int, restatement string")).collect()}
+    # 9 is a copy of 1; a text without ASCII words is linked to the first such
+    assert got == {(1, 2, 1.0), (1, 3, round(13 / 14, 6)), (2, 3, round(13 / 14, 6)), (5, 6, 1.0), (7, 8, 1.0)}
+
+
+def test_override_issues(spark):
+    own = F.sha2(F.to_json(F.struct("override_id", "scope"), {"ignoreNullFields": "false"}), 256)
+    o = spark.createDataFrame([
+        ("a", "c", "s", "h", "r", 1, None, None), ("b", "c", "s", "h", "r", 2, "a", "a"), ("d", "c", "s", "h", "r", 1, "b", "b"), ("e", "c", "t", "h", "r", 9, "b", "b"), ("f", "c", "s", "h", "other", 1, None, None),
+        ("g", "x", "s", "h", "r", 1, None, None), ("i", "c", "s", "h2", "r", 1, "gone", None), ("k", "c", "s", "h", "r", 1, None, None), ("k", "c", "s", "h", "r", 2, None, None),
+    ], "override_id string, case_id string, scope string, sha256 string, role string, issued_at int, prior_id string, of string")
+    before = F.sha2(F.to_json(F.struct(F.col("of").alias("override_id"), F.lit("s").alias("scope"))), 256)
+    o = o.withColumn("prior_hash", F.when(F.col("of").isNotNull(), before)).withColumn("content_hash", own).drop("of")
+    catalog = spark.createDataFrame([("c", "h", "r", "released"), ("c", "h2", "r", "released"), ("c", "h2", "r", "released")], "case_id string, sha256 string, role string, review_status string")
+    got = sorted(tuple(r) for r in A.override_issues(o, catalog, ("override_id", "scope")).collect())
+    assert got == [("b", "BRANCH"), ("d", "LINK"), ("e", "LINK"), ("f", "ARTIFACT"), ("g", "ARTIFACT"), ("i", "ARTIFACT"), ("i", "LINK"), ("k", "DUPLICATE_ID")]
+    assert A.override_issues(o.limit(0), catalog, ("override_id", "scope")).count() == 0
