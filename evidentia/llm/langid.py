@@ -111,9 +111,9 @@ def forward(pieces: np.ndarray, lengths: np.ndarray, prob: np.ndarray, keep: boo
     return np.log(np.maximum(alpha[lengths, np.arange(n)], 1e-300))
 
 
-def forward_long(words: list[np.ndarray], table: PieceTable, prob: np.ndarray) -> np.ndarray:
-    """log P of words of any length [n, languages]: all step from letter to letter together, the last LONGEST_PIECE
-    prefixes of each are kept, scaled so that they neither vanish nor overflow."""
+def _long_pieces(words: list[np.ndarray], table: PieceTable):
+    """Words of any length, longest first: their order, sizes and first letters, each letter's place in its word, and
+    for each letter e the number of the piece of k+1 letters that ends there [letters, LONGEST_PIECE]."""
     order = np.argsort([-len(w) for w in words], kind="stable")
     size = np.array([len(words[k]) for k in order])
     first = np.cumsum(size) - size
@@ -126,6 +126,13 @@ def forward_long(words: list[np.ndarray], table: PieceTable, prob: np.ndarray) -
         h = h + (c[np.maximum(np.arange(len(c)) - k, 0)] + np.uint64(1)) * np.uint64(pow(int(_P), k, 1 << 64))
         ok = at >= k
         pieces[ok, k] = table.find(h[ok])
+    return order, size, first, at, pieces
+
+
+def forward_long(words: list[np.ndarray], table: PieceTable, prob: np.ndarray) -> np.ndarray:
+    """log P of words of any length [n, languages]: all step from letter to letter together, the last LONGEST_PIECE
+    prefixes of each are kept, scaled so that they neither vanish nor overflow."""
+    order, size, first, _, pieces = _long_pieces(words, table)
     n, langs = len(size), prob.shape[1]
     alpha, scale = np.zeros((n, LONGEST_PIECE, langs)), np.zeros((n, langs))
     alpha[:, 0] = 1
@@ -143,6 +150,54 @@ def forward_long(words: list[np.ndarray], table: PieceTable, prob: np.ndarray) -
     return out
 
 
+def expect_long(words: list[np.ndarray], weight: np.ndarray, table: PieceTable, p: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+    """Expected counts of every piece [pieces + 1] in words of any length, each counted ``weight`` times, by the
+    probabilities p[pieces + 1] of one language. Prefixes and suffixes are kept as logarithms, one for each letter."""
+    order, size, first, at, pieces = _long_pieces(words, table)
+    n, c = len(size), len(at)
+    live = np.searchsorted(-size, -np.arange(size[0]), side="left")
+
+    def q(e):
+        out = p[pieces[e]]
+        out[..., 0] = np.maximum(out[..., 0], FLOOR)
+        return out
+
+    # upto[e]: log of the sum over the letters before e; down[e]: over those from e on. ahead, back: the nearest
+    # LONGEST_PIECE of these as multiples of the last one
+    upto, down, total = np.zeros(c), np.zeros(c), np.zeros(n)
+    back, ahead = np.zeros((n, LONGEST_PIECE)), np.zeros((n, LONGEST_PIECE))
+    back[:, 0] = ahead[:, 0] = 1
+    for j in range(size[0]):
+        m = live[j]
+        upto[first[:m] + j] = total[:m]
+        new = (back[:m] * q(first[:m] + j)).sum(1)
+        total[:m] += np.log(new)
+        back[:m, 1:] = back[:m, :-1] / new[:, None]
+        back[:m, 0] = 1
+    rest, k = np.zeros(n), np.arange(LONGEST_PIECE)
+    for j in range(size[0] - 1, -1, -1):
+        m = live[j]
+        e = np.minimum(first[:m, None] + j + k, c - 1)  # beyond a word's end ``ahead`` is 0
+        one = p[pieces[e, k]]
+        one[:, 0] = np.maximum(one[:, 0], FLOOR)
+        new = (ahead[:m] * one).sum(1)
+        rest[:m] += np.log(new)
+        down[first[:m] + j] = rest[:m]
+        ahead[:m, 1:] = ahead[:m, :-1] / new[:, None]
+        ahead[:m, 0] = 1
+    counts = np.zeros(len(p))
+    after = np.append(down[1:], 0.0)
+    after[first + size - 1] = 0
+    of = np.repeat(np.arange(n), size)
+    for lo in range(0, c, block):
+        e = np.arange(lo, min(c, lo + block))
+        begins = np.maximum(e[:, None] - k, 0)
+        fits = at[e][:, None] >= k
+        share = np.where(fits, np.exp(np.where(fits, upto[begins] + after[e][:, None] - total[of[e]][:, None], 0.0)), 0.0)
+        counts += np.bincount(pieces[e].ravel(), weights=(share * q(e) * weight[order][of[e]][:, None]).ravel(), minlength=len(p))
+    return counts
+
+
 def cut_words(texts, longer: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lower-cased runs of letters: distinct words of at most LONGEST_WORD letters [m, LONGEST_WORD], their lengths, and
     for each occurrence its document and the number of its word. Longer words, numbered from m on, go to ``longer``."""
@@ -217,6 +272,20 @@ class UnigramModel:
         return [self.langs[b] if s else "und" for b, s in zip(best, seen, strict=True)], np.where(seen > 0, score, 0.0)
 
 
+def _long_groups(texts: list[str], lang: np.ndarray, n: np.ndarray, which: np.ndarray, letters: int = 1 << 18):
+    """The words marked by ``which`` as (language, words, weights), of one language and about ``letters`` letters each."""
+    for of in np.unique(lang[which]):
+        words, at = [], []
+        for i in np.flatnonzero(which & (lang == of)):
+            words.append(_codes(texts[i]))
+            at.append(i)
+            if sum(map(len, words)) >= letters:
+                yield of, words, n[at]
+                words, at = [], []
+        if words:
+            yield of, words, n[at]
+
+
 def _expect(model):
     def run(batches):
         m = model.value
@@ -224,6 +293,12 @@ def _expect(model):
             texts = batch.column("word").to_pylist()
             n = batch.column("n").to_numpy().astype(float)
             lang = batch.column("lang").to_numpy()
+            short = np.array([len(x) <= LONGEST_WORD for x in texts], bool)
+            for of, words, weight in _long_groups(texts, lang, n, ~short):
+                x = expect_long(words, weight, m.table, m.prob[:, of])[:-1]
+                b = np.flatnonzero(x)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), of, np.int32)), pa.array(b.astype(np.int32)), pa.array(x[b])], ["lang", "piece", "x"])
+            texts, n, lang = [x for x, ok in zip(texts, short, strict=True) if ok], n[short], lang[short]
             for lo in range(0, len(texts), 4096):
                 part = texts[lo : lo + 4096]
                 lengths = np.array([len(x) for x in part])
@@ -256,8 +331,7 @@ def _expect(model):
 
 def train(labelled: DataFrame, per_language: int = 400, rounds: int = 3, smooth: float = 0.05, seed: int = 1) -> UnigramModel:
     """labelled(doc_id, text, lang) -> model. Of each language, about ``per_language`` rows drawn by a hash of
-    doc_id (all, where there are fewer) are counted, with all their words; runs of more than LONGEST_WORD letters
-    teach in parts of that length. Null langs and texts teach nothing; without any row the model knows no language."""
+    doc_id (all, where there are fewer) are counted, with all their words, whole at any length. Null langs and texts teach nothing; without any row the model knows no language."""
     spark = labelled.sparkSession
     rows = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("lang is not null and text is not null")
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
@@ -271,7 +345,7 @@ def train(labelled: DataFrame, per_language: int = 400, rounds: int = 3, smooth:
     for k, n in counts.items():
         share = F.when(F.col("lang") == k, min(1.0, per_language / n)).otherwise(share)
     number = F.array_position(F.array(*(F.lit(x) for x in langs)), F.col("lang")).cast("int") - 1
-    runs = F.expr(f"regexp_extract_all(lower(text), '\\\\p{{L}}{{1,{LONGEST_WORD}}}', 0)")
+    runs = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))
     words = rows.filter(u < share).select(number.alias("lang"), F.explode(runs).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     words = written(words.repartition(spark.sparkContext.defaultParallelism), "words")
     model = UnigramModel(pieces, langs, uniform)

@@ -71,7 +71,7 @@ def _signatures(width: int, perms: int, rows: int, seed: int):
 
     def run(batches):
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids, t = batch.column("doc_id"), batch.column("t")
             for lo, texts in text_slices(batch, "text"):
                 doc, h = shingle_keys(texts, width)
                 n = len(texts)
@@ -95,8 +95,8 @@ def _signatures(width: int, perms: int, rows: int, seed: int):
                 sig = _pack(minima)
                 lists = lambda x: pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, n), pa.array(size.astype(np.int64)), pa.array(set_hash[0].view(np.int64)), pa.array(set_hash[1].view(np.int64)), lists(key), lists(sig)],
-                    ["doc_id", "n_shingles", "h1", "h2", "bands", "sig"],
+                    [ids.slice(lo, n), t.slice(lo, n), pa.array(size.astype(np.int64)), pa.array(set_hash[0].view(np.int64)), pa.array(set_hash[1].view(np.int64)), lists(key), lists(sig)],
+                    ["doc_id", "t", "n_shingles", "h1", "h2", "bands", "sig"],
                 )
 
     return run
@@ -108,7 +108,7 @@ def _set_hashes(h: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
 
 
 def _sets(width: int):
-    """Sets of the texts whose set hash is the wanted one: of a repeated doc_id only those that stand for it."""
+    """Sets of the texts, which have the set hash of the class they stand for."""
 
     def run(batches):
         for batch in batches:
@@ -123,7 +123,7 @@ def _sets(width: int):
                     own[:, has] = _set_hashes(h, upto[has])
                 fit = [own[k].view(np.int64) == batch.column(c).slice(lo, n).to_numpy() for k, c in enumerate(("h1", "h2"))]
                 lists = pa.ListArray.from_arrays(upto.astype(np.int32), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, n), lists], ["doc_id", "shingles"]).filter(pa.array(fit[0] & fit[1]))
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, n), lists], ["id", "shingles"]).filter(pa.array(fit[0] & fit[1]))
 
     return run
 
@@ -191,25 +191,27 @@ def _cross_links(perms: int, least: float, percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, perms: int = 128, rows: int = 4, block: int = 160, seed: int = 7) -> DataFrame:
-    """docs(doc_id, text, ...) -> (doc_id, n_shingles, component_id, kept), one row per input row.
+def _classes(docs: DataFrame, width: int, percent: int, perms: int, rows: int, block: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """docs(doc_id, text) -> (doc_id, t, n_shingles, node), one row per input row, and links (a, b) between nodes.
 
-    Words are runs of non-whitespace with A-Z lower-cased; the set of a text is its distinct
-    ``width``-word shingles, or its whole sequence where it has fewer words. Two documents link when
-    100 * |intersection| >= percent * |union|; component_id is the smallest doc_id reachable and kept
-    marks that document. Null or wordless texts have an empty set and link with nothing (component_id =
-    doc_id). Rows with a null doc_id keep a null component and kept = false; repeated rows of one doc_id
-    come out once each, in one component: where their texts differ, the one of the smallest set hash is
-    compared for all of them. Other columns of ``docs`` are not read.
+    A node is a class of equal shingle sets and has the smallest doc_id with that set as its number. Where that doc_id
+    repeats with other sets, only the least of them has it; the others get a number of 2^62 and more made of their set.
+    ``t`` is a hash of the text. Texts without a word and null doc_ids have no class.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("t", F.xxhash64("text"))
     least = max(0.0, percent / 100 - 5 / (1 - 2.0**-BITS) * ((percent / 100) * (1 - percent / 100) / perms) ** 0.5)
-    sigs = written(docs.mapInArrow(_signatures(width, perms, rows, seed), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sig array<long>"), "sigs")
+    schema = "doc_id long, t long, n_shingles long, h1 long, h2 long, bands array<long>, sig array<long>"
+    sigs = written(docs.mapInArrow(_signatures(width, perms, rows, seed), schema), "sigs")
     full = sigs.filter("n_shingles > 0 and doc_id is not null")
-    reps = full.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    lead = full.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    lead = lead.groupBy(F.col("doc_id").alias("id")).agg(F.min(F.struct("h1", "h2", "n_shingles", "sig", "bands")).alias("s"))
-    lead = written(lead.select("id", "s.*"), "leaders")
+    of = ("h1", "h2", "n_shingles")
+    reps = full.groupBy(*of).agg(F.min(F.struct("doc_id", "t")).alias("r"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    reps = written(reps.select("r.*", *of, "sig", "bands"), "classes")
+    own = reps.groupBy("doc_id").agg(F.min(F.struct(*of)).alias("own")).hint("merge")  # one plan at every size
+    other = F.xxhash64(*of).bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+    node = F.when(F.struct(*of) == F.col("own"), F.col("doc_id")).otherwise(other)
+    lead = written(reps.join(own, "doc_id").select(node.alias("id"), "doc_id", "t", *of, "sig", "bands"), "leaders")
+    placed = sigs.select("doc_id", "t", *of).join(lead.select("id", *of).hint("merge"), list(of), "left")
+    placed = written(placed.select("doc_id", "t", "n_shingles", F.col("id").alias("node")), "placed")
     rows_ = lead.select(F.explode("bands").alias("key"), "id")
     buckets = rows_.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1")
     buckets = written(buckets, "buckets")
@@ -218,13 +220,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, perms: i
     star = rows_.join(buckets.select("key", "first"), "key").filter("id > first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     star = written(star, "pairs")
     # the full sets of all that shares a bucket
-    need = star.select(F.col("a").alias("id")).union(star.select(F.col("b").alias("id"))).distinct().join(lead.select("id", "h1", "h2"), "id")
-    need = need.select(F.col("id").alias("doc_id"), "h1", "h2").hint("merge")  # one plan at every size
-    texts = docs.withColumn("t", F.xxhash64("text")).join(need, "doc_id").dropDuplicates(["doc_id", "t"]).drop("t")
-    sets = written(texts.mapInArrow(_sets(width), "doc_id long, shingles array<long>"), "sets")
+    need = star.select(F.col("a").alias("id")).union(star.select(F.col("b").alias("id"))).distinct().join(lead.select("id", "doc_id", "t", "h1", "h2"), "id")
+    texts = docs.join(need.hint("merge"), ["doc_id", "t"]).dropDuplicates(["doc_id", "t", "id"])  # one plan at every size
+    sets = written(texts.select("id", "text", "h1", "h2").mapInArrow(_sets(width), "id long, shingles array<long>"), "sets")
     side = lambda x: sig.select(F.col("id").alias(x), F.col("sig").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}"))
     good = star.join(side("a"), "a").join(side("b"), "b").filter((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (_estimate(F.col("sa"), F.col("sb"), perms) >= least)).select("a", "b")
-    both = good.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+    both = good.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     both = both.withColumn("both", F.size(F.array_intersect("x", "y")).cast("long"))
     links = written(both.filter(F.col("both") * 100 >= (F.size("x") + F.size("y") - F.col("both")) * percent).select("a", "b"), "links")
     comp = connected_components(links)
@@ -238,32 +239,55 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, perms: i
     per = named.groupBy("key", "comp").agg(F.count("*").alias("m"))
     plan = per.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("big"), F.sum("m").alias("n"), F.max("m").alias("most"))
     plan = plan.select("key", "big", F.ceil(F.col("n") / block).cast("int").alias("nb"), F.ceil((F.col("n") - F.col("most")) / block).cast("int").alias("nq"))
-    part = named.join(plan, "key").join(sig.select("id", "sig"), "id").join(sets.withColumnRenamed("doc_id", "id"), "id")
+    part = named.join(plan, "key").join(sig.select("id", "sig"), "id").join(sets, "id")
     part = written(part, "parts")
     spread = F.pmod(F.xxhash64("id"), F.lit(1 << 30)).cast("int")
     base = part.select("key", "id", "comp", "sig", "shingles", F.lit(False).alias("asks"), (spread % F.col("nb")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("j"))
     asks = part.filter("comp != big").select("key", "id", "comp", "sig", "shingles", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("i"), (spread % F.col("nq")).alias("j"))
     more = base.unionByName(asks).groupBy("key", "i", "j").applyInPandas(_cross_links(perms, least, percent), "a long, b long")
     more = written(more, "more")
-    comp = connected_components(links.union(more))
-    for table in (star, sets, part, named, members, lead, buckets, links, more):
+    for table in (sigs, reps, star, sets, part, named, members, lead, buckets):
         drop_written(table)
-    classes = reps.join(comp, reps.rep == comp.id, "left").select("h1", "h2", F.col("n_shingles").alias("n"), F.coalesce("component", "rep").alias("component"))
-    s = sigs.select("doc_id", "n_shingles", "h1", "h2")
-    out = s.join(classes, (s.h1 == classes.h1) & (s.h2 == classes.h2) & (s.n_shingles == classes.n), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return placed, links.union(more)
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, perms: int = 128, rows: int = 4, block: int = 160, seed: int = 7) -> DataFrame:
+    """docs(doc_id, text, ...) -> (doc_id, n_shingles, component_id, kept), one row per input row.
+
+    Words are runs of non-whitespace with A-Z lower-cased; the set of a text is its distinct
+    ``width``-word shingles, or its whole sequence where it has fewer words. Two documents link when
+    100 * |intersection| >= percent * |union|; component_id is the smallest doc_id reachable and kept
+    marks that document. Null or wordless texts have an empty set and link with nothing (component_id =
+    doc_id). Rows with a null doc_id keep a null component and kept = false. Repeated rows of one doc_id
+    come out once each; where their texts differ, every one is compared, and they are in one component
+    (whose name is right as long as one of its doc_ids is below 2^62). Other columns of ``docs`` are not read.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    placed, links = _classes(docs, width, percent, perms, rows, block, seed)
+    some = placed.filter("doc_id is not null and node is not null").select("doc_id", "node")
+    several = some.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("doc_id", "a")
+    ties = some.join(several, "doc_id").filter("node > a").select("a", F.col("node").alias("b"))
+    comp = connected_components(links.union(ties))
+    out = placed.join(comp, placed.node == comp.id, "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each group of near copies: the smallest doc_id. Rows with a null doc_id are documents
-    too: they go by a number made of their text, after all others, so that equal ones are one. Of rows that repeat a
-    doc_id the one of the smallest hash of its text stays. Texts without a word stay, once for each doc_id. Columns may
-    have any names."""
+    """``docs`` with one row of each group of near copies: the smallest doc_id, of its rows in the group the one of the
+    smallest hash of its text, of those with equal texts the least row. Different texts of one doc_id are documents of
+    their own. Rows with a null doc_id are documents too: they go by a number made of their text, after all others, so
+    that equal ones are one. Texts without a word stay, once for each doc_id and text. Columns may have any names;
+    those of repeated documents must be of types that can be ordered."""
     ids = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)).alias("doc_id")
-    kept = near_duplicates(docs.select(ids, "text"), width=width, percent=percent).filter("kept").groupBy("doc_id").agg(F.count("*").alias("n"))
+    text = F.col("text").cast("string")
+    placed, links = _classes(docs.select(ids, text.alias("text")), width, percent, 128, 4, 160, 7)
+    comp = connected_components(links)
+    each = placed.groupBy("doc_id", "t", "node").agg(F.count("*").alias("n"))
+    grouped = each.filter("node is not null").join(comp, F.col("node") == comp.id, "left").groupBy(F.coalesce("component", "node").alias("g")).agg(F.min(F.struct("doc_id", "t", "n")).alias("k"))
+    kept = each.filter("node is null").select("doc_id", "t", "n").unionByName(grouped.select("k.*"))
     kept = written(kept, "kept").hint("merge")  # one plan at every size; both joins share one shuffle of the rows
-    rows = docs.select(ids, F.struct(*docs.columns).alias("row"))
-    once = rows.join(kept.filter("n = 1"), "doc_id").select("row")
-    again = rows.join(kept.filter("n > 1"), "doc_id").groupBy("doc_id").agg(F.min_by("row", F.struct(F.xxhash64("row.text"), F.xxhash64("row"))).alias("row")).select("row")
+    rows = docs.select(ids, F.xxhash64(text).alias("t"), F.struct(*docs.columns).alias("row"))
+    once = rows.join(kept.filter("n = 1"), ["doc_id", "t"]).select("row")
+    again = rows.join(kept.filter("n > 1"), ["doc_id", "t"]).groupBy("doc_id", "t").agg(F.min("row").alias("row")).select("row")
     return once.unionByName(again).select("row.*")

@@ -81,12 +81,13 @@ def _quota(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def chosen(docs: DataFrame, weights: tuple[float, ...], share: float, most: int, seed: int, bucket: int) -> DataFrame:
-    """docs(doc_id, source, size, h) -> one row per distinct (doc_id, source, size, h): how many rows it stands for
-    (m), and how many of its documents are taken in all (total), with source_size and target. Equal rows are counted
-    before anything is ordered, so that very many of them are one row here."""
+    """docs(doc_id, source, size, h, g) -> one row per distinct row of these: how many rows it stands for (m), and how
+    many of its documents are taken in all (total), with source_size and target. Equal rows are counted before anything
+    is ordered, so that very many of them are one row here. The draw goes by doc_id and h; rows that share both are in
+    order of g, in one task (which spills)."""
     if most not in (1, 2):
         raise ValueError("most is 1 or 2")
-    d = written(docs.groupBy("doc_id", "source", "size", "h").agg(F.count("*").alias("m")), "sizes")
+    d = written(docs.groupBy("doc_id", "source", "size", "h", "g").agg(F.count("*").alias("m")), "sizes")
     hist = written(d.groupBy("source", "size").agg(F.sum("m").alias("n")), "lengths")
     per = targets(hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, most)
     p = per.select(F.col("source").alias("ps"), "source_size", "target")
@@ -103,21 +104,21 @@ def chosen(docs: DataFrame, weights: tuple[float, ...], share: float, most: int,
     cut = counts.withColumn("before", F.coalesce(before, F.lit(0))).select(F.col("source").alias("cs"), F.col("size").alias("cz"), F.col("b").alias("cb"), "before", "here")
     inside = some.join(cut, F.col("source").eqNullSafe(F.col("cs")) & (F.col("size") == F.col("cz")) & (F.col("b") == F.col("cb"))).drop("cs", "cz", "cb")
     edge = (F.col("before") < F.col("extra")) & (F.col("before") + F.col("here") > F.col("extra"))
-    keep = ("doc_id", "source", "size", "h", "m", "copies", "more")
-    within = F.coalesce(F.sum("m").over(Window.partitionBy("source", "size", "b").orderBy("r", "doc_id", "h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    keep = ("doc_id", "source", "size", "h", "g", "m", "copies", "more")
+    within = F.coalesce(F.sum("m").over(Window.partitionBy("source", "size", "b").orderBy("r", "doc_id", "h", "g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     left = F.col("extra") - F.col("before") - within
     ranked = inside.filter(edge).withColumn("more", F.greatest(F.lit(0).cast("long"), F.least("m", left))).select(*keep)
     plain = inside.filter(~edge).withColumn("more", F.when(F.col("before") < F.col("extra"), F.col("m")).otherwise(0)).select(*keep)
     rest = placed.filter("extra <= 0 or extra >= n").withColumn("more", F.when(F.col("extra") > 0, F.col("m")).otherwise(0)).select(*keep)
     out = ranked.unionByName(plain).unionByName(rest).join(p, F.col("source").eqNullSafe(F.col("ps"))).drop("ps")
     total = F.when(F.col("size") > 0, F.col("copies") * F.col("m") + F.col("more")).otherwise(0).cast("long")
-    return out.select("doc_id", "source", "size", "h", "m", total.alias("total"), "source_size", "target")
+    return out.select("doc_id", "source", "size", "h", "g", "m", total.alias("total"), "source_size", "target")
 
 
-def _measured(docs: DataFrame, *more: Column) -> DataFrame:
+def _measured(docs: DataFrame, g: Column, *more: Column) -> DataFrame:
     text = F.col("text").cast("string")
     size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64(text).alias("h"), *more)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64(text).alias("h"), g.alias("g"), *more)
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 11, bucket: int = 512) -> DataFrame:
@@ -125,21 +126,24 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     row. size counts runs of non-whitespace (null: 0); a document is taken 0, 1 or 2 times whole, taken is
     that many times its size. Documents without words are never taken. Null is a source of its own; repeated
     rows are documents of their own. Reruns agree. ``most`` is 1 or 2. No documents: no rows."""
-    c = chosen(_measured(docs), weights, share, most, seed, bucket)
+    c = chosen(_measured(docs, F.lit(0).cast("long")), weights, share, most, seed, bucket)
     each = c.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))
     copies = F.floor(F.col("total") / F.col("m")) + (F.col("k") <= F.col("total") % F.col("m")).cast("long")
     return each.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 11, bucket: int = 512) -> DataFrame:
-    """The rows of ``docs`` as often as :func:`mix` takes them, null doc_ids and sources too. Rows of one doc_id, source
-    and text are one document that is there several times: what :func:`mix` takes of them all comes as copies of the
-    least of these rows. Columns may have any names; those of repeated documents must be of types that can be ordered."""
-    c = chosen(_measured(docs), weights, share, most, seed, bucket).filter("total > 0")
-    took = c.select(*(F.col(x).alias(f"_{x}") for x in ("doc_id", "source", "size", "h", "m", "total")))
-    rows = _measured(docs, F.struct(*docs.columns).alias("row"))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")) & (F.col("h") == F.col("_h"))
-    j = rows.join(took, same).select("doc_id", "source", "h", "row", F.col("_m").alias("m"), F.col("_total").alias("total"))
-    again = j.filter("m > 1").groupBy("doc_id", "source", "h", "total").agg(F.min("row").alias("row"))
+    """The rows of ``docs``, each 0, 1 or 2 times as :func:`mix` says, null doc_ids and sources too. Rows of one doc_id,
+    source and text share what :func:`mix` takes of these; rows that differ in another column are documents of their own,
+    and what is taken of equal rows comes as copies of one of them. Columns may have any names; they must be of types that can be
+    ordered."""
+    row = F.struct(*docs.columns)
+    g = F.xxhash64(row)
+    c = chosen(_measured(docs, g), weights, share, most, seed, bucket).filter("total > 0")
+    took = c.select(*(F.col(x).alias(f"_{x}") for x in ("doc_id", "source", "size", "h", "g", "m", "total")))
+    rows = _measured(docs, g, row.alias("row"))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")) & (F.col("h") == F.col("_h")) & (F.col("g") == F.col("_g"))
+    j = rows.join(took, same).select("doc_id", "source", "h", "g", "row", F.col("_m").alias("m"), F.col("_total").alias("total"))
+    again = j.filter("m > 1").groupBy("doc_id", "source", "h", "g", "total").agg(F.min("row").alias("row"))
     out = j.filter("m = 1").select("row", "total").unionByName(again.select("row", "total"))
     return out.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("total")))).select("row.*")

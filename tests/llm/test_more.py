@@ -39,7 +39,7 @@ def words(text):
 def test_odd_rows_of_the_pipeline_stages(spark, odd):
     kept = minhash.deduplicated(odd)
     assert kept.columns == odd.columns
-    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, kept.filter("doc_id = 1").first().text), (3, None), (4, ""), (5, kept.filter("doc_id = 5").first().text), (None, "alone in the world with some words"), (None, None)], key=str)
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, kept.filter("doc_id = 1").first().text), (3, None), (4, ""), (5, "a text of five and of this and that"), (5, "another text of five that and this"), (None, "alone in the world with some words"), (None, None)], key=str)
     taken, mixed = mixing.mix(odd).collect(), mixing.mixed(odd)
     assert len(taken) == odd.count() and mixed.columns == odd.columns
     assert Counter(r.doc_id for r in mixed.collect()) == +Counter({i: sum(r.copies for r in taken if r.doc_id == i) for i in {r.doc_id for r in taken}})
@@ -347,3 +347,58 @@ def test_repeated_ids_with_other_texts(spark):
     rows = [(1, " ".join(t)), (1, "quite another text of one"), (2, " ".join(t[1:])), (3, "quite another text of one"), (3, "quite another text of one"), (4, "a b")]
     got = Counter((r.doc_id, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect())
     assert got[(1, 1)] == 2 and got[(3, 1)] == 2 and got[(4, 4)] == 1
+
+
+def test_long_words_teach_whole():
+    """Expected counts over all segmentations, against an enumeration of them; a very long word stays finite."""
+    pieces = sorted(["a", "b", "ab", "ba", "aba", "abab"])
+    rng = np.random.default_rng(3)
+    prob = np.append(rng.random(len(pieces)), 0.0)[:, None]
+    prob /= prob.sum()
+    model = langid.UnigramModel(pieces, ["x"], prob)
+
+    def cuts(w):
+        if not w:
+            yield []
+        for k in range(1, min(len(w), 4) + 1):
+            if w[:k] in pieces or k == 1:
+                yield from ([w[:k], *rest] for rest in cuts(w[k:]))
+
+    texts, weight = ["ababa", "b", "abacab", "bababab"], np.array([2.0, 1.0, 3.0, 1.0])
+    want = np.zeros(len(pieces) + 1)
+    for t, n in zip(texts, weight, strict=True):
+        ways = [(c, np.prod([max(prob[pieces.index(x), 0] if x in pieces else 0.0, langid.FLOOR if len(x) == 1 else 0.0) for x in c])) for c in cuts(t)]
+        for c, p in ways:
+            for x in c:
+                want[pieces.index(x) if x in pieces else len(pieces)] += n * p / sum(p for _, p in ways)
+    got = langid.expect_long([langid._codes(t) for t in texts], weight, model.table, prob[:, 0], block=5)
+    assert np.allclose(got, want)
+    long = langid.expect_long([langid._codes("ab" * 20000)], np.ones(1), model.table, prob[:, 0])
+    assert abs(sum(x * len(p) for x, p in zip(long, pieces, strict=False)) - 40000) < 1e-3
+
+
+def test_training_takes_long_words_and_equals_itself_in_parts(spark):
+    rows = [(i, ("ab" * 40 + " haus ") * 3, "x") for i in range(4)] + [(i, "und der hund " * 3, "y") for i in range(4, 8)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rounds=2)
+    words = {w: 12.0 for w in ("ab" * 40, "haus")}
+    p = np.full(len(model.pieces) + 1, 1 / (len(model.pieces) + 1))
+    p[-1] = 0
+    for _ in range(2):
+        x = langid.expect_long([langid._codes(w) for w in words], np.array(list(words.values())), model.table, p)
+        x[-1] = 0
+        x[:-1] += 0.05
+        p = x / x.sum()
+    assert np.allclose(model.prob[:, 0], p)
+
+
+def test_rows_that_share_an_id_and_differ(spark):
+    """Different texts of one doc_id are compared and kept each; rows that differ in any column are mixed each."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(5, a, "s", 1), (7, a, "s", 2), (7, b, "s", 3), (9, b + " end", "s", 4), (9, c, "s", 5), (9, c, "s", 6), (11, "", "s", 7), (11, None, "s", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mark int")
+    assert sorted(r.mark for r in minhash.deduplicated(docs).collect()) == [1, 3, 5, 7, 8]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect())
+    assert got == [(5, 5, True), (7, 5, False), (7, 5, False), (9, 5, False), (9, 5, False), (9, 5, False), (11, 11, True), (11, 11, True)]
+    two = spark.createDataFrame([(1, "x y z", "s", 1), (1, "x y z", "s", 2)], "doc_id long, text string, source string, mark int")
+    assert sorted(r.mark for r in mixing.mixed(two, share=1.0).collect()) == [1, 2]
+    assert sorted(r.mark for r in mixing.mixed(two, share=2.0).collect()) == [1, 1, 2, 2]
