@@ -585,4 +585,4 @@ def distinct_rule_rows(t):
     return V.distinct_rule_rows(t("orders").select(F.col("o_custkey").alias("rule_id"), F.col("o_orderkey").alias("position"), F.array("o_orderpriority", "o_orderstatus").alias("conditions")))
 
 
-from . import architecture_checks, casework, governance, inventory, registry, segments, values, workbook_checks  # noqa: E402, F401
+from . import architecture_checks, casework, governance, inventory, policies, registry, segments, values, workbook_checks  # noqa: E402, F401
