@@ -28,3 +28,12 @@ def test_identities_end_with_the_sheet(spark, tmp_path):
     part = spark.createDataFrame([(k, "n", 3) for k in _KEYS], "p_partkey long, p_name string, p_size int")
     rows = {r[0]: r[2:] for r in _as_sql(spark, tmp_path, "identities", part=part)}
     assert rows[1_048_576] == (1_048_576 % 26 + 1, 1_048_576) and rows[1_048_577] == rows[0] == rows[10_000_000] == (None, None)
+
+
+def test_dependencies_end_with_the_sheet(spark, tmp_path):
+    part = spark.createDataFrame([(k, "Brand#1") for k in _KEYS], "p_partkey long, p_brand string")
+    lines = [(n, k, s, i) for n, (k, s, i) in enumerate((k, s, i) for k in _KEYS for s in (3, 4) for i in (1, 2, 3))]
+    lineitem = spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int")
+    issues = Counter(r[2] for r in _as_sql(spark, tmp_path, "resolve_dependencies", part=part, lineitem=lineitem))
+    # by sheet row: 0, 1, 1, 2, 2, 3 (unknown), the last three rows of the sheet, and those beyond it
+    assert issues == {"EXTERNAL": 16, "MALFORMED": 16 + 8, "UNKNOWN": 1, None: 7}
