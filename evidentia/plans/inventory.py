@@ -109,7 +109,7 @@ def override_issues(t):
     o = o.withColumn("content_hash", F.when(F.col("forged"), "0").otherwise(own(*(F.col(n) for n in ("override_id", "case_id", "scope", "issued_at")))))
     # what the successor thinks its prior is: the newest of that id, whole
     held = o.groupBy(F.col("override_id").alias("prior_id")).agg(F.max_by(F.struct("case_id", "scope", "issued_at", F.col("override_id").alias("id")), F.struct("issued_at", "content_hash")).alias("h"))
-    o = o.join(held, "prior_id", "left").withColumn("prior_hash", F.when(F.col("stale"), "1").otherwise(own(F.col("prior_id"), F.col("h.case_id"), F.col("h.scope"), F.col("h.issued_at")))).drop("h")
+    o = R.beside(o, held, "prior_id", "override_id").withColumn("prior_hash", F.when(F.col("stale"), "1").otherwise(own(F.col("prior_id"), F.col("h.case_id"), F.col("h.scope"), F.col("h.issued_at")))).drop("h")
     spark = o.sparkSession
     held = spark.range(3).select(F.col("id").alias("case_id"), F.explode(F.concat(F.sequence(F.lit(0), F.lit(37)), F.array(F.lit(7)))).alias("sha256"))
     held = held.withColumns({"role": F.lit("regulation"), "review_status": F.when(F.col("sha256") == 9, "held").otherwise("released")})

@@ -3,7 +3,10 @@
 from collections import Counter
 
 import duckdb
+from pyspark.sql import functions as F
 
+
+from evidentia.operators import architecture as A
 from evidentia.plans import catalog, governance  # noqa: F401
 
 
@@ -37,3 +40,19 @@ def test_dependencies_end_with_the_sheet(spark, tmp_path):
     issues = Counter(r[2] for r in _as_sql(spark, tmp_path, "resolve_dependencies", part=part, lineitem=lineitem))
     # by sheet row: 0, 1, 1, 2, 2, 3 (unknown), the last three rows of the sheet, and those beyond it
     assert issues == {"EXTERNAL": 16, "MALFORMED": 16 + 8, "UNKNOWN": 1, None: 7}
+
+
+def test_rows_without_a_key_are_dealt(spark):
+    left = spark.range(1000).selectExpr("if(id % 4 = 0, id div 8, null) as prior_id", "id as override_id")
+    right = spark.range(100).selectExpr("id as prior_id", "id * 10 as x")
+    got = A.beside(left, right.hint("merge"), "prior_id", "override_id").withColumn("task", F.spark_partition_id())
+    rows = got.collect()
+    assert Counter((r.prior_id, r.override_id, r.x) for r in rows) == Counter((i // 8 if i % 4 == 0 else None, i, i // 8 * 10 if i % 4 == 0 and i < 800 else None) for i in range(1000))
+    plan = A.override_issues(left.selectExpr("override_id", "0 case_id", "0 scope", "0 sha256", "'' role", "0 issued_at", "prior_id", "'' prior_hash", "'' content_hash"), spark.range(0).selectExpr("0 case_id", "0 sha256", "'' role", "'' review_status"), ("scope",))
+    assert "_spot" in plan._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        tasks = Counter(r.task for r in A.beside(left, right.hint("merge"), "prior_id", "override_id").filter("prior_id is null").withColumn("task", F.spark_partition_id()).collect())
+        assert max(tasks.values()) < 300
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
