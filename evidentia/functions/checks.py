@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,13 +21,18 @@ SIGNATURES = {"4D5A": "application/x-dosexec", "7F454C46": "application/x-elf",
 
 
 def nfc(text: Column) -> Column:
-    """The composed Unicode form. ASCII is composed already and never leaves the JVM."""
-
-    @F.pandas_udf("string")
-    def composed(x: pd.Series) -> pd.Series:
-        return x.str.normalize("NFC")
-
-    return F.when(text.rlike(r"[^\x00-\x7F]"), composed(text)).otherwise(text)
+    """The composed Unicode form. Only what can change leaves the JVM: the text from one character before the first that is
+    not ASCII. ASCII is composed already, and joins nothing before it. Rows go over in small batches, so that no
+    worker holds thousands of long texts at once."""
+
+    @F.udf("string", useArrow=False)
+    def composed(x: str | None) -> str | None:
+        return None if x is None else unicodedata.normalize("NFC", x)
+
+    first = F.regexp_instr(text, F.lit(r"[^\x00-\x7F]"))
+    start = F.greatest(first - 1, F.lit(1))
+    tail = F.when(first > 0, F.substring(text, start, F.length(text)))
+    return F.when(first > 0, F.concat(F.substring(text, F.lit(1), start - 1), composed(tail))).otherwise(text)
 
 
 def raw_value_kind(value: Column, present: Column) -> Column:
