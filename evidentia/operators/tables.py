@@ -168,7 +168,12 @@ def match_references_topk(tokens: DataFrame, refs: DataFrame, k: int = 5, weight
     the share of the reference's; ties by smaller ref_id."""
     r = refs.distinct()
     size = r.groupBy("ref_id").agg(F.count("*").alias("n"))
-    m = tokens.distinct().join(r, "token").groupBy("doc_id", "ref_id").agg(F.count("*").alias("shared")).join(size, "ref_id")
+    # tokens that no reference has go before the shuffle; a document's rest is dealt once, by the document, which serves
+    # the distinct tokens, the counts and the ranks, so that the rows of documents and references are never shuffled.
+    # They are many more than the tokens, so that partitions fit for the tokens' bytes would be too large
+    parts = 8 * int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    t = tokens.join(r.select("token").distinct(), "token", "left_semi").select("doc_id", "token").repartition(parts, "doc_id").distinct()
+    m = t.join(r, "token").groupBy("doc_id", "ref_id").agg(F.count("*").alias("shared")).join(size, "ref_id")
     m = m.withColumn("score", F.floor(F.col("shared") / F.col("n") * weight + 0.5).cast("long"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), F.desc("shared"), "ref_id"))
     return m.withColumn("rank", rank).filter(F.col("rank") <= k).select("doc_id", "rank", "ref_id", "score")
