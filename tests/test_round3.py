@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import checks as C
 from evidentia.operators import architecture as A
+from evidentia.operators import graphs as G
 from evidentia.operators import tables as T
 from evidentia.plans import catalog, governance  # noqa: F401
 
@@ -82,3 +83,14 @@ def test_references_are_matched_after_one_shuffle_by_document(spark):
     assert sorted(map(tuple, df.collect())) == sorted(want)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(doc_id" in plan and not re.search(r"hashpartitioning\(doc_id#\w+, (ref_id|token)", plan)
+
+
+def test_rounds_broadcast_nothing(spark):
+    edges = spark.range(2, 64).selectExpr("id div 2 as src", "id as dst")
+    blocks = G.propagate_blocks(edges, spark.range(64).filter("id % 9 = 5"))
+    levels = G.execution_order(spark.range(1, 64), edges)
+    for df in (blocks, levels):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {r.id: r.level for r in levels.collect()} == {i: i.bit_length() for i in range(1, 64)}
+    a, b = (G.cut(spark.range(9)), G.cut(spark.range(5)))
+    assert "Broadcast" not in a.join(b, "id")._jdf.queryExecution().executedPlan().toString()
