@@ -123,3 +123,15 @@ def test_families_of_near_copies_meet_once(spark, monkeypatch):
         assert len(got) == len(set(got)) and set(got) == want and len(want) > 10
     # texts are cut into shingles once, not once for each of the five uses of their sets
     assert "regexp_replace" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def _dealt(df, key):
+    return {int(n) for n in re.findall(rf"hashpartitioning\({key}#\w+, (\d+)\), REPARTITION_BY_NUM", df._jdf.queryExecution().executedPlan().toString())}
+
+
+def test_links_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(A, "TASK_ROWS", 20)
+    orders = spark.range(300).selectExpr("id as o_orderkey", "id % 17 as o_custkey", "timestamp'1996-01-01' + make_dt_interval(int(id * 7 % 90)) as o_orderdate")
+    issues = Counter(r[1] for r in _as_sql(spark, tmp_path, "supersession_issues", orders=orders))
+    assert set(issues) == {"UNBOUND", "SEQUENCE", "BRANCH", "SEVERAL_ROOTS"}
+    assert _dealt(catalog.QUERIES["supersession_issues"](spark, str(tmp_path)), "predecessor_id") == {15}
