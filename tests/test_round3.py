@@ -152,3 +152,11 @@ def test_ranges_are_dealt_once_by_their_number(spark, monkeypatch):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(str((*k, len(v))) for k, v in want.items()) and len(want) > 20
     assert _dealt(got, "scenario") == {6}
     assert not re.search(r"SortMergeJoin \[scenario.*\n.*Exchange hashpartitioning\(scenario#\w+, \d+\), ENSURE", got._jdf.queryExecution().executedPlan().toString())
+
+
+def test_facts_are_dealt_before_conditions_multiply_them(spark, tmp_path):
+    orders = spark.range(60).selectExpr("id as o_orderkey", "concat(id % 3, if(id % 2 = 0, '-URGENT', '-HIGH')) as o_orderpriority", "substr('FOP', int(id % 3) + 1, 1) as o_orderstatus", "id * 5000.5 as o_totalprice")
+    assert len(_as_sql(spark, tmp_path, "select_scenarios", orders=orders)) == 300
+    plan = catalog.QUERIES["select_scenarios"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(case_id#\w+, \d+\), REPARTITION_BY_COL", plan)
+    assert not re.search(r"hashpartitioning\(case_id#\w+, scenario_id#\w+, condition_id", plan)
