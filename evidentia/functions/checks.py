@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -127,9 +129,13 @@ def _words(*texts: str) -> str:
 
 #: The words of this function and of the two below it, with their weights.
 def provision_kind(text: Column) -> Column:
-    """example, formula or provision; null for a null text."""
+    """example, formula or provision; null for a null text. Word bounds are looked at only where a word is."""
     low = F.lower(text)
-    return F.when(low.rlike(_words("example", "illustration", "for instance")), "example").when(low.rlike(_words("formula", "multiplied by", "times") + "|="), "formula").when(text.isNotNull(), "provision")
+
+    def has(*words: str) -> Column:
+        return reduce(or_, [low.contains(w) for w in words]) & low.rlike(_words(*words))
+
+    return F.when(has("example", "illustration", "for instance"), "example").when(low.contains("=") | has("formula", "multiplied by", "times"), "formula").when(text.isNotNull(), "provision")
 
 
 def provision_issues(text: Column) -> Column:

@@ -56,8 +56,10 @@ def _segments(df: DataFrame, source: str, locator: Column, provision: Column, te
 def line_rows(docs: DataFrame) -> DataFrame:
     """docs(artifact_id, text) -> (artifact_id, line from 1, offset, value), blank lines too; lines end with CR, LF or both."""
     raw = docs.select("artifact_id", F.regexp_extract_all("text", F.lit(_LINE), F.lit(0)).alias("raw"))
-    at = raw.select("artifact_id", F.posexplode(F.arrays_zip("raw", running_offsets(F.transform("raw", F.length)).alias("at"))).alias("pos", "x"))
-    return at.select("artifact_id", (F.col("pos") + 1).alias("line"), F.col("x.at").alias("offset"), F.regexp_replace("x.raw", r"[\r\n]+$", "").alias("value"))
+    raw = raw.select("artifact_id", "raw", F.transform("raw", F.length).alias("n"))
+    at = raw.select("artifact_id", F.posexplode(F.arrays_zip("raw", "n", running_offsets(F.col("n")).alias("at"))).alias("pos", "x"))
+    end = F.when(F.endswith("x.raw", F.lit("\r\n")), 2).when(F.endswith("x.raw", F.lit("\n")) | F.endswith("x.raw", F.lit("\r")), 1).otherwise(0)
+    return at.select("artifact_id", (F.col("pos") + 1).alias("line"), F.col("x.at").alias("offset"), F.substring("x.raw", F.lit(1), F.col("x.n") - end).alias("value"))
 
 
 def text_segments(docs: DataFrame, prefix: str = "text") -> DataFrame:
@@ -106,14 +108,16 @@ def page_segments(spans: DataFrame) -> DataFrame:
 
 def split_examples(segments: DataFrame) -> DataFrame:
     """A segment whose text is a formula followed by an example becomes two, each with its offset."""
-    at = F.regexp_instr("text", F.lit(EXAMPLE)) - 1
+    low, at = F.lower("text"), F.col("at")
+    # the pattern is tried where its words are, which is seldom
+    found = F.when(low.contains("example") | low.contains("illustration"), F.regexp_instr("text", F.lit(EXAMPLE)) - 1).otherwise(-1)
     before = F.substring(F.col("text"), F.lit(1), at)
     part = lambda what, text, offset: F.struct(
         F.concat("locator", F.lit(f":{what}-offset="), offset.cast("string")).alias("locator"), F.concat("provision_id", F.lit(f"-{what}")).alias("provision_id"), text.alias("text"), F.lit(what).alias("kind")
     )
     two = F.array(part("formula", before, F.lit(0)), part("example", F.substring(F.col("text"), at + 1, F.length("text")), at))
     one = F.array(F.struct("locator", "provision_id", "text", "kind"))
-    return segments.select("artifact_id", "source", F.explode(F.when((at > 0) & before.rlike(FORMULA), two).otherwise(one)).alias("x")).select("artifact_id", "source", "x.*")
+    return segments.withColumn("at", found).select("artifact_id", "source", F.explode(F.when((at > 0) & before.rlike(FORMULA), two).otherwise(one)).alias("x")).select("artifact_id", "source", "x.*")
 
 
 def segment_evidence(lines: DataFrame | None = None, json: DataFrame | None = None, delimited: DataFrame | None = None, workbook: DataFrame | None = None, pages: DataFrame | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from evidentia.functions.checks import provision_kind
 from evidentia.operators import segments as G
 
 
@@ -61,3 +62,19 @@ def test_cells_and_spans(spark):
     assert [(r.locator, r.provision_id) for r in G.segment_evidence(delimited=cells).collect()] == [("row=1:column=1", "row-1-column-1")]
     plan = G.segment_evidence(delimited=cells, pages=spans, workbook=book)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_patterns_run_only_where_their_words_are(spark):
+    """Word bounds cost most of the time over long texts: a text without the words never meets them. Odd letters around
+    the words, and every end of a line, are as before."""
+    texts = ["EXAMPLE", "counterexample", "IllustrationK", "for  instance", "x=y", "timeshare", "Multiplied By", "formulas", None, "", "Kexample: 1 = 2", "a = b KEXAMPLE: 3"]
+    df = spark.createDataFrame(list(enumerate(texts)), "artifact_id int, text string")
+    kinds = [r.k for r in df.select("artifact_id", provision_kind(F.col("text")).alias("k")).orderBy("artifact_id").collect()]
+    assert kinds == ["example", "provision", "provision", "provision", "formula", "provision", "formula", "provision", None, "provision", "formula", "formula"]
+    got = {r.text for r in G.segment_evidence(lines=df.filter("artifact_id = 11")).collect()}
+    assert got == {"a = b K", "EXAMPLE: 3"}
+    ends = spark.createDataFrame([(1, "é\r\n\n\r\rz\r"), (2, "\r\n"), (3, "")], "artifact_id int, text string")
+    rows = sorted((r.artifact_id, r.line, r.offset, r.value) for r in G.line_rows(ends).collect())
+    assert rows == [(1, 1, 0, "é"), (1, 2, 3, ""), (1, 3, 4, ""), (1, 4, 5, ""), (1, 5, 6, "z"), (1, 6, 8, ""), (2, 1, 0, ""), (2, 2, 2, ""), (3, 1, 0, "")]
+    plan = df.select(provision_kind(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains" in plan and plan.index("Contains") < plan.index("RLIKE")
