@@ -1,9 +1,12 @@
 """What the review of round 4 found."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from evidentia.operators import evidence as E
+from evidentia.operators import graphs as G
 
 
 def test_the_first_of_a_family_is_a_pair_with_its_members(spark):
@@ -22,3 +25,43 @@ def test_what_rounds_up_to_the_threshold_is_a_pair(spark, n, similarity):
     docs = spark.createDataFrame([(1, 450_002), (2, n)], "artifact_id long, n int").select("artifact_id", F.expr("array_join(transform(sequence(1, n), i -> string(i)), ' ')").alias("text"))
     got = E.near_duplicate_pairs(docs, 0.6, shingles=lambda t: F.split(t, " ")).collect()
     assert [r.similarity for r in got] == ([similarity] if similarity else [])
+
+
+def blocked(edges, failed):
+    """The plain version: each cycle's members in place of its name."""
+    nodes = {x for e in edges for x in e}
+
+    def reach(x):
+        seen, left = set(), [x]
+        while left:
+            new = {b for a, b in edges if a in left} - seen
+            seen |= new
+            left = list(new)
+        return seen
+
+    to = {x: reach(x) for x in nodes}
+    on = {x: {y for y in to[x] if x in to[y]} for x in nodes if x in to[x]}
+    causes = {x: set() for x in nodes if x not in failed and x not in on}
+    for _ in nodes:
+        for a, b in edges:
+            if b in causes:
+                causes[b] |= {("failed", a)} if a in failed else {("cycle", frozenset(on[a]))} if a in on else causes[a]
+    return {(x, *c) for x, cs in causes.items() for c in cs}
+
+
+def test_blocks_tell_every_root_cause_and_cycles_cause_as_a_group(spark):
+    rng = random.Random(7)
+    graphs = [
+        ([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (6, 5), (5, 7), (8, 8), (8, 7), (9, 10), (10, 11), (9, 11)], {6, 9}),
+        # 12 fails on a cycle: what depends on it has it alone as cause, what depends on 13 the cycle as a group; 16 fails below 15
+        ([(12, 13), (13, 12), (12, 14), (13, 15), (15, 16), (16, 17), (14, 17)], {12, 16}),
+        ([(1, 2), (2, 3)], set()),
+        (list({(rng.randrange(30), rng.randrange(30)) for _ in range(34)}), {3, 14, 25}),
+    ]
+    for edges, failed in graphs:
+        e, f = spark.createDataFrame(edges + edges[:2], "src int, dst int"), spark.createDataFrame([(x,) for x in failed], "id int")
+        members = {}
+        for r in G.cycle_members(e).collect():
+            members.setdefault(r.cycle, set()).add(r.id)
+        got = [(r.id, r.kind, r.cause if r.kind == "failed" else frozenset(members[r.cause])) for r in G.propagate_blocks(e, f).collect()]
+        assert set(got) == blocked(edges, failed) and len(got) == len(set(got))
