@@ -1,6 +1,8 @@
 """What the review of round 4 found."""
 
 import random
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -65,3 +67,37 @@ def test_blocks_tell_every_root_cause_and_cycles_cause_as_a_group(spark):
             members.setdefault(r.cycle, set()).add(r.id)
         got = [(r.id, r.kind, r.cause if r.kind == "failed" else frozenset(members[r.cause])) for r in G.propagate_blocks(e, f).collect()]
         assert set(got) == blocked(edges, failed) and len(got) == len(set(got))
+
+
+def test_tables_leave_no_shuffle_files(spark):
+    dirs = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {f for d in dirs for f in Path(d).rglob("shuffle_*.data")}
+    before, held = files(), spark.conf.get(G.CLEAN)
+    assert G.cut(spark.range(300_000).selectExpr("xxhash64(id) as k").repartition("k")).schema.names == ["k"]
+    size = lambda: sum(f.stat().st_size for f in files() - before)
+    for _ in range(50):
+        if not size():
+            break
+        time.sleep(0.2)
+    assert not size() and spark.conf.get(G.CLEAN) == held
+
+
+@pytest.mark.parametrize("block", [256, 5])
+def test_pairs_of_a_cluster_are_not_joined_one_by_one(spark, monkeypatch, block):
+    rng, tables, own = random.Random(9), [], E.cut
+    base = [f"w{k}" for k in range(80)]
+    rows = [(i, rng.sample(base, rng.randrange(56, 64)) + [f"own{i}x{k}" for k in range(rng.randrange(6))]) for i in range(60)]
+    rows += [(100 + i, [f"v{k}" for k in rng.sample(range(6), 4)]) for i in range(20)]
+    monkeypatch.setattr(E, "BLOCK", block)
+    monkeypatch.setattr(E, "cut", lambda df: tables.append((df.columns, own(df))) or tables[-1][1])
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "artifact_id long, text string")
+    got = [tuple(r) for r in E.near_duplicate_pairs(docs, 0.6, shingles=lambda t: F.split(t, " ")).collect()]
+    seen, first = set(), []
+    for i, w in rows:
+        first += [] if tuple(w) in seen else [(i, set(w))]
+        seen.add(tuple(w))
+    want = {(i, j, round(len(a & b) / len(a | b), 6)) for i, a in first for j, b in first if i < j}
+    want = {x for x in want if x[2] >= 0.6}
+    assert set(got) == want and len(got) == len(want) > 300
+    joined = [df.count() for columns, df in tables if columns == ["from_id", "to_id"]]
+    assert len(joined) == 1 and joined[0] < 0.4 * len(want)
